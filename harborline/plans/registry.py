@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harborline.operators import regular_grid
+from harborline.operators import regular_grid, spikes, time_texts
 
 
 def core_modules() -> list:
-    return [regular_grid]
+    return [time_texts, regular_grid, spikes]
 
 
 def flagship(spark, d: str):
