@@ -61,3 +61,9 @@ def valid_number(c: str) -> F.Column:
 
 def package_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def iso_instant(c) -> F.Column:
+    """Microseconds of ISO text with optional seconds, fraction and zone (UTC without one); null where it is none."""
+    text = F.regexp_replace(c, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2})(?=$|Z|[+-])", "$1:00")
+    return F.unix_micros(F.try_to_timestamp(text))
