@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.common import micros, table
+from harborline.common import iso_instant, micros, table
 
 
 def expand_ticks(right: DataFrame, tol_us: int) -> DataFrame:
@@ -56,7 +56,7 @@ TOLERANCE_US = 600_000_000
 
 def _sides(spark, d: str) -> tuple[DataFrame, DataFrame]:
     ledger = table(spark, d, "ledger").where((F.col("origin") == "local") & F.col("realized_level").isNull())
-    left = ledger.select(F.col("station").alias("entity"), micros(F.try_to_timestamp("time")).alias("us"), F.col("entry_id").alias("lid"))
+    left = ledger.select(F.col("station").alias("entity"), iso_instant("time").alias("us"), F.col("entry_id").alias("lid"))
     obs = table(spark, d, "obs").where(F.col("height").isNotNull() & ~F.isnan("height"))
     return left, obs.select(F.col("station").alias("entity"), micros(F.col("t")).alias("us"), F.col("obs_id").alias("id"))
 
