@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harborline.llm import nearest_time
+from harborline.llm import nearest_time, tokenize
 
 
 def modules() -> list:
-    return [nearest_time]
+    return [nearest_time, tokenize]
