@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harborline.llm import nearest_time, tokenize
+from harborline.llm import language, nearest_time, tokenize
 
 
 def modules() -> list:
-    return [nearest_time, tokenize]
+    return [nearest_time, tokenize, language]
