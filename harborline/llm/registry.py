@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harborline.llm import language, nearest_time, tokenize
+from harborline.llm import language, mixture, nearest_time, tokenize
 
 
 def modules() -> list:
-    return [nearest_time, tokenize, language]
+    return [nearest_time, tokenize, mixture, language]
