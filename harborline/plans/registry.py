@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harborline.operators import bad_rows, near, regular_grid, spikes, tides, time_texts
+from harborline.operators import bad_rows, near, regular_grid, scores, series, spikes, tides, time_texts
 
 
 def core_modules() -> list:
-    return [near, time_texts, regular_grid, bad_rows, spikes, tides]
+    return [near, time_texts, regular_grid, bad_rows, spikes, tides, series, scores]
 
 
 def flagship(spark, d: str):
