@@ -36,7 +36,7 @@ def ordered_blocks(df: DataFrame, key: str, order: list[str], chunk: F.Column, h
     by = Window.partitionBy(key, "_chunk").orderBy(*order)
     sizes = hot.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = sizes.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy(key)).alias("_all"))
     at = F.col("_off") + F.col("_rn") - 1
     numbered = (
         hot.withColumn("_rn", F.row_number().over(by))
@@ -48,7 +48,7 @@ def ordered_blocks(df: DataFrame, key: str, order: list[str], chunk: F.Column, h
         F.array(
             F.struct(F.col("_b").alias("_blk"), F.lit(True).alias("_core")),
             F.when((F.col("_at") < halo) & (F.col("_b") > 0), F.struct((F.col("_b") - 1).alias("_blk"), F.lit(False).alias("_core"))),
-            F.when(F.col("_at") >= block_rows - halo, F.struct((F.col("_b") + 1).alias("_blk"), F.lit(False).alias("_core"))),
+            F.when((F.col("_at") >= block_rows - halo) & ((F.col("_b") + 1) * block_rows < F.col("_all")), F.struct((F.col("_b") + 1).alias("_blk"), F.lit(False).alias("_core"))),
         )
     )
     cut = numbered.withColumn("_to", F.explode(copies)).select(*df.columns, "_to._blk", "_to._core")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import materialize, micros, small, table
+from harborline.common import BROADCAST_ROWS, materialize, micros, small, table
 from harborline.operators.blocks import BLOCK_ROWS, ordered_blocks
 
 BOUND = 25.0
@@ -240,19 +240,29 @@ def scales(laid: DataFrame) -> DataFrame:
     return middle.groupBy("source").agg(F.max("total").alias("n"), *one)
 
 
-def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scaled(x: dict[str, np.ndarray], known: dict[str, tuple] | None) -> dict[str, np.ndarray]:
+    """n and s0..s4 of each row's source: from `known`, or columns of the rows themselves."""
+    names = ("n", "s0", "s1", "s2", "s3", "s4")
+    if known is None:
+        return {k: x[k].astype(float) for k in names}
+    who, at = np.unique(x["source"].astype(str), return_inverse=True)
+    rows = np.array([known.get(w, (None,) * len(names)) for w in who], float).reshape(-1, len(names))
+    return {k: rows[at, j] for j, k in enumerate(names)}
+
+
+def _flags(batches: Iterator[pa.RecordBatch], known: dict[str, tuple] | None) -> Iterator[pa.RecordBatch]:
     for x in _whole(batches):
         place, first = _series(x)
         h = x["v"][first]
         bad = np.abs(h) > BOUND
         bad |= find_runs(h, _segments(x, first))
+        scale = _scaled(x, known)
         sound = first[np.abs(h) <= BOUND]
-        known = np.isfinite(x["s0"][sound].astype(float)) & np.isfinite(x["s1"][sound].astype(float))
-        sound = sound[known]
+        sound = sound[np.isfinite(scale["s0"][sound]) & np.isfinite(scale["s1"][sound])]
         if len(sound):
-            reach = np.sqrt(2 * np.log(np.maximum(x["n"][sound].astype(float), 2)))
-            axes = np.stack([np.nan_to_num(x[f"s{k}"][sound].astype(float), nan=1e9) * reach for k in (1, 2, 3)])
-            spike = find_spikes(x["us"][sound] / 1e6, x["v"][sound], _segments(x, sound), x["s0"][sound].astype(float), axes, np.nan_to_num(x["s4"][sound].astype(float)) * STEEP / 3600)
+            reach = np.sqrt(2 * np.log(np.maximum(scale["n"][sound], 2)))
+            axes = np.stack([np.nan_to_num(scale[f"s{k}"][sound], nan=1e9) * reach for k in (1, 2, 3)])
+            spike = find_spikes(x["us"][sound] / 1e6, x["v"][sound], _segments(x, sound), scale["s0"][sound], axes, np.nan_to_num(scale["s4"][sound]) * STEEP / 3600)
             bad[place[sound[spike]]] = True
         yield pa.RecordBatch.from_arrays([pa.array(x["id"][bad[place] & x["_core"].astype(bool)], pa.int64())], ["id"])
 
@@ -268,9 +278,19 @@ def implausible(df: DataFrame, series: str, time: str, value: str, source: str,
     placed = use.where(F.col("key").isNotNull() & F.col("us").isNotNull())
     loose = use.where((F.col("key").isNull() | F.col("us").isNull()) & (F.abs("v") > BOUND)).select("id")
     cut = ordered_blocks(placed, "key", ["us", "v", "id"], F.floor(F.col("us") / 86_400_000_000), HALO, block_rows)
-    laid = cut.repartition("key", "_blk").sortWithinPartitions("key", "_blk", "us", "v")
-    known = small(materialize(scales(laid), "scales"))
-    return laid.join(known, "source", "left").mapInArrow(_flags, "id long").unionByName(loose)
+    known = materialize(scales(_laid(cut)), "scales")
+    some = known.select("source", "n", "s0", "s1", "s2", "s3", "s4").limit(BROADCAST_ROWS + 1).collect()
+    if len(some) <= BROADCAST_ROWS:
+        shipped = df.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in some})
+        found = _laid(cut).mapInArrow(lambda it: _flags(it, shipped.value), "id long")
+    else:
+        found = _laid(cut.join(known, "source", "left")).mapInArrow(lambda it: _flags(it, None), "id long")
+    return found.unionByName(loose)
+
+
+def _laid(cut: DataFrame) -> DataFrame:
+    """Whole blocks in partitions, in order of time. Nothing may be joined above: the optimizer drops sorts below joins."""
+    return cut.repartition("key", "_blk").sortWithinPartitions("key", "_blk", "us", "v")
 
 
 def odd_rates(df: DataFrame, value: str, kind: str, rid: str) -> DataFrame:
