@@ -134,9 +134,11 @@ def argument(c: Constituent) -> str:
 
 
 def basis_steps(constituents: list[Constituent]) -> Steps:
-    """Columns c_<name> and s_<name>: f cos(V + u) and f sin(V + u)."""
-    angle = {f"a_{c.name}": f"radians({mod360(argument(c))})" for c in constituents}
-    return [*state_steps(), *node_steps(), angle, {k: v for c in constituents for k, v in ((f"c_{c.name}", f"{factor(c)} * cos(a_{c.name})"), (f"s_{c.name}", f"{factor(c)} * sin(a_{c.name})"))}]
+    """Columns c_<name> and s_<name>: f cos(V + u) and f sin(V + u). Only the node factors they need are computed."""
+    families = {c.family for c in constituents}
+    nodes = [{k: v for k, v in node_steps()[0].items() if k[2:] in families}]
+    angle = {f"a_{c.name}": f"radians({argument(c)})" for c in constituents}
+    return [*state_steps(), *nodes, angle, {k: v for c in constituents for k, v in ((f"c_{c.name}", f"{factor(c)} * cos(a_{c.name})"), (f"s_{c.name}", f"{factor(c)} * sin(a_{c.name})"))}]
 
 
 def wrapped_correction(c: Constituent) -> str:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import micros, small, table
+from harborline.common import materialize, micros, small, table
 from harborline.operators.blocks import BLOCK_ROWS, ordered_blocks
 from harborline.operators.tides import OBS_SQL, predict, predict_sql, published_models
 
@@ -109,7 +109,8 @@ def ref_exposure_windows(spark, d: str) -> DataFrame:
 
 def _residuals(spark, d: str) -> DataFrame:
     """Readings with residual against the tide and the station's usual residual (sample deviation)."""
-    got = _predicted(spark, d).withColumn("resid", F.round(F.col("height") - F.col("tide"), 4)).where(F.abs("height") < 25)
+    # Written once: the spread, the blocks' counts and the rows themselves all read it.
+    got = materialize(_predicted(spark, d).withColumn("resid", F.round(F.col("height") - F.col("tide"), 4)).where(F.abs("height") < 25), "residuals")
     spread = got.groupBy("station").agg(F.stddev_samp("resid").alias("sigma"), F.avg("resid").alias("offset"), F.count(F.lit(1)).alias("n_station"))
     return got.join(small(spread), "station")
 

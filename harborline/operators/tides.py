@@ -31,18 +31,31 @@ _PUBLISHED_SQL = "SELECT station, region_name, coalesce(mean, 0.0) AS z0, " + ",
 ) + " FROM gauges WHERE station IS NOT NULL"
 
 
-def height_step() -> dict[str, str]:
-    """The predicted height from z0, amp_*, lag_* and the basis columns."""
-    terms = [f"coalesce(amp_{n} * (c_{n} * cos(radians(lag_{n})) + s_{n} * sin(radians(lag_{n}))), 0.0)" for n in NAMES]
-    return {"tide": "z0 + " + " + ".join(terms)}
+def present(models: DataFrame) -> list[str]:
+    """The constituents that any of the models has, in the catalogue's order: one small aggregate over the models."""
+    has = models.agg(*(F.max(F.col(f"amp_{n}").isNotNull()).alias(n) for n in NAMES)).first()
+    return [n for n in NAMES if has[n]]
 
 
-PREDICT = [*astro.basis_steps(astro.CATALOG), height_step()]
+def height_step(names: list[str]) -> dict[str, str]:
+    """The predicted height from z0, the models' parts x_*, y_* and the basis columns."""
+    return {"tide": " + ".join(["z0", *(f"(x_{n} * c_{n} + y_{n} * s_{n})" for n in names)])}
+
+
+def parts(names: list[str]) -> dict[str, str]:
+    """Cosine and sine parts of the constants; 0 where a model lacks the constituent."""
+    return {k: v for n in names for k, v in ((f"x_{n}", f"coalesce(amp_{n} * cos(radians(lag_{n})), 0.0)"), (f"y_{n}", f"coalesce(amp_{n} * sin(radians(lag_{n})), 0.0)"))}
 
 
 def predict(times: DataFrame, models: DataFrame) -> DataFrame:
-    """times(station, us, ...) joined with models: the times' columns and `tide`. Stations without a model have no row."""
-    return with_steps(times.join(small(models), "station"), PREDICT).select(*times.columns, "tide")
+    """times(station, us, ...) joined with models: the times' columns and `tide`. Stations without a model have no row.
+
+    Only constituents that some model has are computed: a method of generated code must stay small enough to be compiled.
+    """
+    names = present(models)
+    slim = models.selectExpr("station", "z0", *(f"{e} AS {n}" for n, e in parts(names).items()))
+    joined = with_steps(times, astro.basis_steps([astro.BY_NAME[n] for n in names])).join(small(slim), "station")
+    return with_steps(joined, [height_step(names)]).select(*times.columns, "tide")
 
 
 def hours(models: DataFrame, first: str, days: int) -> DataFrame:
@@ -134,7 +147,7 @@ OBS_SQL = "(SELECT obs_id, upload_id, station, epoch_us(t) AS us, height FROM ob
 
 def predict_sql(times: str) -> str:
     """`times` is a FROM item with station and us."""
-    return sql_steps(f"(SELECT * FROM {times} JOIN ({_PUBLISHED_SQL}) USING (station))", PREDICT)
+    return sql_steps(f"(SELECT * FROM {times} JOIN ({_PUBLISHED_SQL}) USING (station))", [parts(NAMES), *astro.basis_steps(astro.CATALOG), height_step(NAMES)])
 
 
 _HOURS = "(SELECT station, epoch_us(TIMESTAMPTZ '{first} 00:00:00+00') + hour * 3600000000 AS us FROM gauges, range({n}) AS r(hour))"
