@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harborline.operators import bad_rows, fitting, lineage, near, network, regular_grid, scores, series, spikes, tides, time_texts
+from harborline.operators import analysis, bad_rows, fitting, lineage, near, network, regular_grid, scores, series, spikes, tides, time_texts
 
 
 def core_modules() -> list:
-    return [near, time_texts, regular_grid, bad_rows, spikes, tides, series, scores, fitting, network, lineage]
+    return [near, time_texts, regular_grid, bad_rows, spikes, tides, series, scores, fitting, network, lineage, analysis]
 
 
 def flagship(spark, d: str):
