@@ -106,7 +106,7 @@ def node_steps() -> Steps:
             "f_k1": f"sqrt(0.2523 * pow(sin(2 * ii), 2) + 0.1689 * sin(2 * ii) * cos(vv) + 0.0283) / (0.5023 * sin(2 * o) * {less} + 0.1681)",
             "f_k2": f"sqrt(0.2523 * pow(sin(ii), 4) + 0.0367 * pow(sin(ii), 2) * cos(2 * vv) + 0.0013) / (0.5023 * pow(sin(o), 2) * {less} + 0.0365)",
             "f_mf": f"pow(sin(ii), 2) / (pow(sin(o), 2) * pow(cos(0.5 * {i}), 4))",
-            "f_mm": f"(2.0 / 3.0 - pow(sin(ii), 2)) / ((2.0 / 3.0 - pow(sin(o), 2)) * {less})",
+            "f_mm": f"({number(2 / 3)} - pow(sin(ii), 2)) / (({number(2 / 3)} - pow(sin(o), 2)) * {less})",
             "u_unity": "CAST(0.0 AS DOUBLE)",
             "u_m2": "2 * xi - 2 * nu",
             "u_o1": "2 * xi - nu",

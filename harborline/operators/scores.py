@@ -42,9 +42,9 @@ def ref_evaluate(spark, d: str) -> DataFrame:
     p, o = F.col("mean"), F.col("height")
     got = persistence(spark, d).withColumn("crps", F.expr(crps_text("height", "mean", "sigma")))
     return got.groupBy("station").agg(
-        F.count(F.lit(1)).alias("n"), F.round(rmse(p, o), 8).alias("rmse"), F.round(F.avg(F.abs(p - o)), 8).alias("mae"), F.round(F.avg(p - o), 8).alias("bias"),
-        F.round(F.avg(o.between(F.col("lower"), F.col("upper")).cast("double")), 8).alias("coverage"),
-        F.round(F.avg(F.when(F.col("peak") | F.col("trough"), F.abs(p - o))), 8).alias("peak_error"), F.round(F.avg("crps"), 8).alias("crps"),
+        F.count(F.lit(1)).alias("n"), F.round(rmse(p, o), 10).alias("rmse"), F.round(F.avg(F.abs(p - o)), 10).alias("mae"), F.round(F.avg(p - o), 10).alias("bias"),
+        F.round(F.avg(o.between(F.col("lower"), F.col("upper")).cast("double")), 10).alias("coverage"),
+        F.round(F.avg(F.when(F.col("peak") | F.col("trough"), F.abs(p - o))), 10).alias("peak_error"), F.round(F.avg("crps"), 10).alias("crps"),
     )
 
 
@@ -127,8 +127,8 @@ _P = f"""f AS (SELECT *, height > mean AND height > nx AS peak, height < mean AN
 u AS (SELECT station, round(sqrt(avg((height - mean) * (height - mean))), 4) AS sigma FROM f GROUP BY 1),
 p AS (SELECT *, mean - {Z95} * sigma AS lower, mean + {Z95} * sigma AS upper FROM f JOIN u USING (station))"""
 SQL = {
-    "ref_evaluate": f"""WITH {_P} SELECT station, count(*) AS n, round(sqrt(avg((mean - height) * (mean - height))), 8) AS rmse, round(avg(abs(mean - height)), 8) AS mae, round(avg(mean - height), 8) AS bias,
-round(avg(CAST(height BETWEEN lower AND upper AS DOUBLE)), 8) AS coverage, round(avg(abs(mean - height)) FILTER (peak OR trough), 8) AS peak_error, round(avg({crps_text('height', 'mean', 'sigma')}), 8) AS crps FROM p GROUP BY 1""",
+    "ref_evaluate": f"""WITH {_P} SELECT station, count(*) AS n, round(sqrt(avg((mean - height) * (mean - height))), 10) AS rmse, round(avg(abs(mean - height)), 10) AS mae, round(avg(mean - height), 10) AS bias,
+round(avg(CAST(height BETWEEN lower AND upper AS DOUBLE)), 10) AS coverage, round(avg(abs(mean - height)) FILTER (peak OR trough), 10) AS peak_error, round(avg({crps_text('height', 'mean', 'sigma')}), 10) AS crps FROM p GROUP BY 1""",
     "ref_reliability": f"WITH {_P}, l(level, z) AS (VALUES {', '.join(f'(CAST({x} AS DOUBLE), CAST({normal.quantile(0.5 + x / 2)!r} AS DOUBLE))' for x in LEVELS)}) SELECT level, round(avg(CAST(abs(height - mean) / greatest(sigma, 1e-12) <= z AS DOUBLE)), 5) AS covered FROM p, l GROUP BY 1",
     "ref_pit": f"WITH {_P} SELECT CAST(least(floor({normal.cdf('((height - mean) / greatest(sigma, 1e-9))')} * 10), 9) AS INT) AS bin, count(*) AS n FROM p GROUP BY 1",
     "ref_conformal": f"""WITH {_P}, s AS (SELECT station, round(abs(height - mean), 4) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score) AS k, count(*) OVER (PARTITION BY station) AS n FROM s)

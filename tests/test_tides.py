@@ -352,3 +352,57 @@ def test_health_flags_a_shifted_feed(spark, tmp_path):
     q.awaitTermination()
     got = {r.station: r for r in spark.table("health").collect()}
     assert not got["a"].needs_refit and got["a"].n == 100 and got["b"].needs_refit and got["b"].n == 168 and got["b"].coverage == 0.0
+
+
+# -- jobs ----------------------------------------------------------------------------------------
+
+
+def test_fetch_windows_and_landing(spark, tmp_path):
+    from datetime import date
+
+    from harborline.sources import fetch
+
+    got = list(fetch.windows(date(2024, 1, 1), date(2024, 3, 5)))
+    assert got[0] == (date(2024, 1, 1), date(2024, 1, 30)) and got[-1][1] == date(2024, 3, 5) and len(got) == 3
+    assert list(fetch.windows(date(2024, 1, 2), date(2024, 1, 1))) == []
+    assert "begin_date=20240101" in fetch.tides_url("9414290", *got[0])
+    with pytest.raises(ValueError):
+        fetch.tides_url("9414290", date(2024, 1, 1), date(2024, 3, 1))
+    assert len(list(fetch.boxes(170, -170, 0, 10, 10))) == 2
+    folder = f"file://{tmp_path}/landing"
+
+    def get(address):
+        if address == "bad":
+            raise OSError("no answer")
+        return f"body of {address}"
+
+    first = {r.address: (r.body, r.error) for r in fetch.land(spark, ["a", "bad", "a"], get, folder).collect()}
+    assert first == {"a": ("body of a", None), "bad": (None, "no answer")}
+    assert fetch.land(spark, ["a", "b"], get, folder).where("body IS NOT NULL").count() == 2
+
+
+def test_forecast_texts(spark):
+    from harborline.operators import analysis
+
+    one = spark.createDataFrame([(2.0, 0.9, 0.1)], "last double, phi double, eps double").select(F.inline(analysis.ar1_forecast(F.col("last"), F.col("phi"), F.col("eps"), 3))).collect()
+    assert [r.step for r in one] == [1, 2, 3] and one[2]["mean"] == pytest.approx(2 * 0.9**3) and one[1].variance == pytest.approx(0.01 * (1 - 0.9**4) / (1 - 0.81))
+    p = spark.range(1).selectExpr(f"{analysis.exceedance_text('0.0', '1.0', '1.96')} AS a", f"{analysis.tail_survival('0.5', '0.1', '0.2', '0.0')} AS b", f"{analysis.tail_survival('0.0', '0.1', '0.2', '0.1')} AS c", f"{analysis.tail_survival('9.0', '0.1', '0.2', '-0.5')} AS d").first()
+    assert (float(p.a), float(p.b), float(p.c), float(p.d)) == (pytest.approx(0.0249979, abs=1e-6), pytest.approx(math.exp(-2)), 1.0, 0.0)
+    bias = spark.createDataFrame([([float(k) for k in range(12)], T0)], "b array<double>, us long").selectExpr(f"{analysis.seasonal_correction('us', 'b')} AS x").first().x
+    assert bias == pytest.approx(5.5, abs=0.01)
+
+
+def test_attribution_shares(spark, tide_series):
+    from harborline.operators import analysis
+
+    got = analysis.attribution(spark.createDataFrame(tide_series[["station", "us", "height"]])).collect()
+    assert sum(r.share for r in got) == pytest.approx(1.0) and {r.name for r in got} == set(TRUTH)
+
+
+def test_jobs(spark, tmp_path, tide_series):
+    from harborline.__main__ import main
+
+    spark.createDataFrame(tide_series[:200]).withColumn("t", F.timestamp_micros("us")).write.parquet(str(tmp_path / "obs"))
+    main(["fit", "--obs", str(tmp_path / "obs"), "--out", str(tmp_path / "models")])
+    main(["predict", "--models", str(tmp_path / "models"), "--first", "2024-02-01", "--days", "2", "--out", str(tmp_path / "curve")])
+    assert spark.read.parquet(str(tmp_path / "curve")).count() == 48
