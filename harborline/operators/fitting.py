@@ -12,15 +12,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.common import small, table
 from harborline.functions import astro
-from harborline.operators.series import _P, _obs, _predicted
+from harborline.operators.blocks import ordered_blocks
+from harborline.operators.series import _P, _obs, _predicted, with_neighbours
 from harborline.plans.steps import with_steps
 
 BASIC = ["M2", "S2", "N2", "K1", "O1"]
+#: Readings of a series smoothed at once, and by how many its blocks overlap.
+SMOOTHED, OVERLAP = 200_000, 2_000
 #: Stations whose sums one partition holds before it hands them on.
 HELD = 2_000
 FIT = (
@@ -252,9 +255,8 @@ def weather_response(surge: DataFrame, met: DataFrame, max_lag_h: int = 6, p_ref
     """
     hour = 3_600_000_000
     e, n = stress("wind_speed", "wind_dir")
-    w = Window.partitionBy("station").orderBy("us")
     forcing = met.dropna().selectExpr("station", "us", f"{e} AS u", f"{n} AS v", f"pressure - {p_ref} AS p")
-    pairs = forcing.withColumns({f"{c}2": F.lead(c).over(w) for c in ("us", "u", "v", "p")}).where("us2 > us")
+    pairs = with_neighbours(forcing, "station", ["us"], {f"{c}2": (lambda w, c=c: F.lead(c).over(w)) for c in ("us", "u", "v", "p")}, 1).where("us2 > us")
     # Each pair of forcing readings serves the whole hours it covers: the join is an equi-join on station and hour.
     pairs = pairs.withColumn("cell", F.explode(F.sequence(F.expr(f"us DIV {hour}"), F.expr(f"us2 DIV {hour}")))).withColumnRenamed("us", "us1")
     asked = surge.dropna().select("station", "us", "surge", F.explode(F.sequence(F.lit(0), F.lit(max_lag_h))).alias("lag")).withColumn("q", F.col("us") - F.col("lag") * hour).withColumn("cell", F.expr(f"q DIV {hour}"))
@@ -337,10 +339,10 @@ def kalman(y: np.ndarray, f: np.ndarray, h: np.ndarray, q: np.ndarray, r: float,
 def smooth(series: DataFrame, phi: float = 0.95, q_surge: float = 1e-3, q_level: float = 1e-9, r: float = 4e-4) -> DataFrame:
     """series(key, us, height, tide) -> level, trend and AR(1) surge of height less tide, smoothed over the record.
 
-    phi holds for an hour and is raised to the hours between readings. A series is one record of one gauge, whose states need
-    all of it in order; split longer ones into years beforehand.
+    phi holds for an hour and is raised to the hours between readings. Series of more than SMOOTHED readings are smoothed in
+    blocks that overlap by OVERLAP readings on both sides, long after which the surge has forgotten where it began.
     """
-    schema = "key long, us long, level double, trend double, surge double"
+    schema = "key long, us long, level double, trend double, surge double, _core boolean"
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("us", kind="stable")
@@ -353,9 +355,10 @@ def smooth(series: DataFrame, phi: float = 0.95, q_surge: float = 1e-3, q_level:
         y = (part["height"] - part["tide"]).to_numpy(float)
         first = np.nanmean(y) if np.isfinite(y).any() else 0.0
         x, _ = kalman(y, f, np.tile([1.0, 0.0, 1.0], (len(part), 1)), q, r, np.array([first, 0, 0]), np.diag([0.1, 1e-8, q_surge / (1 - phi * phi)]))
-        return pd.DataFrame({"key": part["key"], "us": part["us"], "level": x[:, 0], "trend": x[:, 1], "surge": x[:, 2]})
+        return pd.DataFrame({"key": part["key"], "us": part["us"], "level": x[:, 0], "trend": x[:, 1], "surge": x[:, 2], "_core": part["_core"]})
 
-    return series.groupBy("key").applyInPandas(one, schema)
+    cut = ordered_blocks(series, "key", ["us"], F.floor(F.col("us") / (30 * 86_400_000_000)), OVERLAP, SMOOTHED)
+    return cut.groupBy("key", "_blk").applyInPandas(one, schema).where("_core").drop("_core")
 
 
 def ref_fit(spark, d: str) -> DataFrame:

@@ -172,6 +172,17 @@ def near_points(points: DataFrame, refs: DataFrame, radius_km: float, sample: in
     Rows without a position on the globe (on_globe) or id have no pair. Repeated rows of a side pair repeatedly.
     """
     points, refs = (df.where(on_globe("lon", "lat") & F.col(c).isNotNull()).select(c, F.col("lon").cast("double"), F.col("lat").cast("double")) for df, c in ((points, "pid"), (refs, "rid")))
+    places = refs.groupBy("lon", "lat").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("_n"))
+    if not places.where("_n > 1").isEmpty():
+        # References at one position are searched once and expanded afterwards: a cell never holds copies of a position.
+        pairs = _near_places(points, places.drop("_n"), radius_km, sample, cell_rows)
+        members = refs.join(places.select("lon", "lat", F.col("rid").alias("_first")), ["lon", "lat"]).select("_first", F.col("rid").alias("_rid"))
+        return pairs.join(members, F.col("rid") == F.col("_first")).select("pid", F.col("_rid").alias("rid"), "km")
+    return _near_places(points, refs, radius_km, sample, cell_rows)
+
+
+def _near_places(points: DataFrame, refs: DataFrame, radius_km: float, sample: int, cell_rows: int) -> DataFrame:
+    """near_points() of clean rows, references at distinct positions."""
     chord = 2 * np.sin(min(radius_km / (2 * EARTH_KM), np.pi / 2)) * (1 + 1e-9) + 1e-12
     (ps, n), (rs, m) = _sample(points, sample), _sample(refs, sample)
     spots = np.concatenate([ps, rs])

@@ -191,12 +191,18 @@ def ref_last_readings(spark, d: str) -> DataFrame:
 
 
 def ref_split(spark, d: str) -> DataFrame:
-    """Chronological split of each upload: the last quarter, at least 24 readings, is held out."""
-    obs = _obs(spark, d)
-    sizes = obs.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("upload_id").orderBy(F.desc("us"), F.desc("obs_id"))
-    held = F.greatest(F.lit(24), F.bround(F.col("n") * 0.25).cast("long"))
-    return obs.join(sizes, "upload_id").withColumn("place", F.row_number().over(w)).select("obs_id", F.when(F.col("place") <= held, "test").otherwise("train").alias("part"))
+    """Chronological split of each upload: the last quarter, at least 24 readings, is held out.
+
+    Readings are ranked within their day and the days' counts are added up, so no window sees more than an upload's day.
+    """
+    obs = _obs(spark, d).withColumn("day", F.expr(f"us DIV {DAY}"))
+    days = obs.groupBy("upload_id", "day").agg(F.count(F.lit(1)).alias("c"))
+    later = Window.partitionBy("upload_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("c").over(Window.partitionBy("upload_id"))
+    days = days.select("upload_id", "day", F.coalesce(F.sum("c").over(later), F.lit(0)).alias("after"), F.greatest(F.lit(24), F.bround(n * 0.25).cast("long")).alias("held"))
+    w = Window.partitionBy("upload_id", "day").orderBy(F.desc("us"), F.desc("obs_id"))
+    ranked = obs.withColumn("place", F.row_number().over(w)).join(days, ["upload_id", "day"])
+    return ranked.select("obs_id", F.when(F.col("place") + F.col("after") <= F.col("held"), "test").otherwise("train").alias("part"))
 
 
 def ref_ar1(spark, d: str) -> DataFrame:

@@ -195,8 +195,10 @@ def time_dictionary(rows: DataFrame, store: str | None = None) -> DataFrame:
 def normalise_times(rows: DataFrame, store: str | None = None, hot: int = HOT_TEXT) -> DataFrame:
     """Add utc_us to rows(text, zone, date_order, ...): null where the text stands for no or more than one instant.
 
-    Rows of texts that occur `hot` times or more are joined by a size-checked broadcast, so no text is one task's load.
+    Rows of texts that occur `hot` times or more are joined by a size-checked broadcast, so no text is one task's load. A
+    column utc_us that the rows already have is replaced.
     """
+    rows = rows.drop("utc_us")
     known = time_dictionary(rows, store)
     keys = ("text", "zone", "date_order")
     named = lambda df: df.select(*(F.col(k).alias(f"_{k}") for k in keys), "utc_us")

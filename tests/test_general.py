@@ -141,7 +141,7 @@ def test_wall_clock_is_read_only_if_it_is_one_instant(wall, name):
 
 def test_dictionary_grows_and_hot_texts_keep_their_rows(spark, tmp_path):
     data = [(k, "2024-01-01 10:00" if k % 2 else None if k % 6 == 0 else f"2024-01-01 10:{k % 60:02d}", "UTC" if k % 5 else None, "dmy", "x") for k in range(120)]
-    df = spark.createDataFrame(data, "row_id long, text string, zone string, date_order string, utc string")
+    df = spark.createDataFrame(data, "row_id long, text string, zone string, date_order string, utc_us string")
     store = f"file://{tmp_path}/dict"
     want = [(r[0], time_texts.parse_time(r[1], r[2], r[3])) for r in data]
     for hot in (10, 10**6):
@@ -254,6 +254,9 @@ def test_near_points_and_regions_match_brute_force(spark):
     want = {(p[0], r[0]) for p in ok for r in refs if r[1] is not None and near.great_circle_km(np.float64(p[1]), np.float64(p[2]), np.float64(r[1]), np.float64(r[2])) <= 25}
     got = near.near_points(df, ref, 25.0, sample=50, cell_rows=20).collect()
     assert len(got) == len(want) and {(r.pid, r.rid) for r in got} == want
+    twice = spark.createDataFrame([*refs, ("r0b", *refs[0][1:]), ("r0c", *refs[0][1:])], "rid string, lon double, lat double")
+    got = near.near_points(df, twice, 25.0, sample=50, cell_rows=20).collect()
+    assert {(r.pid, r.rid) for r in got} == want | {(p, x) for p, r in want if r == "r0" for x in ("r0b", "r0c")} and len(got) == len({(r.pid, r.rid) for r in got})
     rings = [("tri", [(-1.0, 40.0), (30.0, 40.0), (10.0, 90.0)]), ("seam", [(170.0, 40.0), (190.0, 40.0), (190.0, 60.0), (170.0, 60.0), (170.0, 40.0)]), ("far", [(350.0, -80.0), (530.0, -80.0), (530.0, 10.0), (350.0, 10.0)]), ("thin", [(0.0, 0.0), (1.0, 1.0)]), ("none", None)]
     zones = spark.createDataFrame([(n, [{"lon": a, "lat": b} for a, b in r] if r else None) for n, r in rings], "rid string, ring array<struct<lon:double,lat:double>>")
 
