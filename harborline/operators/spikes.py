@@ -118,11 +118,11 @@ def off_level(t: np.ndarray, h: np.ndarray, seg: np.ndarray, sigma: np.ndarray,
     after = np.clip(np.where(oka2, (ha2 - ha) / np.maximum(ta2 - ta, 1e-6), 0.0), -steep, steep)
     rise = ha - hb
     apart = np.min([np.abs(rise - q * span) for q in (before, after, (before + after) / 2, 0 * span)], axis=0)
-    # At least one side must itself lie level: two neighbouring spikes are no level.
+    # Each side must itself lie level, where it has a second reading: neighbouring spikes and edges of shifts are no level.
     slope = np.clip(rise / span, -steep, steep)
     calm_b = okb2 & (np.abs(hb - hb2 - slope * (tb - tb2)) < AGREE * least)
     calm_a = oka2 & (np.abs(ha2 - ha - slope * (ta2 - ta)) < AGREE * least)
-    start = ok & (apart < AGREE * least) & (calm_b | calm_a | ~(okb2 | oka2))
+    start = ok & (apart < AGREE * least) & (calm_b | ~okb2) & (calm_a | ~oka2)
     hit = np.zeros(n, bool)
     for k in range(width):
         hit[np.flatnonzero(start) + k] = True
