@@ -40,7 +40,7 @@ _MARKUP = re.compile(r"<[^<>\n]{1,120}>|\{\\?[^{}\n]{0,80}\}")
 _SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*\n]*\*|[♪♫][^♪♫]*(?:[♪♫]|$)|^[ \t]*([�?#]) [^\n]* \1[ \t]*$", re.M)
 _ODD = re.compile(r"[\[(*♪♫#�?]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
-_SPEAKER = re.compile(r"^([ \t]*[-–—]?[ \t]*)([^\n:：]{1,30})[:：][ \t]", re.M)
+_SPEAKER = re.compile(r"^([ \t]*[-–—]?[ \t]*)([^\n:：]{1,30})[:：][ \t]*", re.M)
 _ADVERT = re.compile(r"://|www\.|\w@\w|\b[\w-]{2,}\.(?:com|net|org|info|example|tv|io)\b", re.I)
 _DOMAIN = re.compile(r"[\w-]{3,}\.[A-Za-z|0-9]{2,12}\W*\Z")
 _CREDIT = re.compile(r"^\W*(?:re)?sync\w*\W|^\W*(?:subtitle[sd]|captions?|captioned|translated|transcribed|corrected)\b.*\bby\b", re.I)
@@ -220,7 +220,8 @@ def score(models: Models, cues: list[str], chunk: int = 400_000) -> np.ndarray:
                 out.append(models.costs(np.frombuffer(b"".join(part), np.uint8), np.cumsum(sizes) - sizes))
             part, held = [], 0
         if cue is not None:
-            part.append(b"\n" + cue.encode("utf-8", "replace"))
+            # A lost character becomes one byte that no sample has, so it costs every language alike and little.
+            part.append(b"\n" + cue.replace("\ufffd", "\0").encode("utf-8", "replace"))
             held += len(part[-1])
     return np.concatenate(out)
 
