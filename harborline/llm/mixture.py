@@ -147,6 +147,12 @@ def _cuts(rated: DataFrame) -> dict[str, float]:
             lack[s] -= done.get(s, (0, 0.0))[1]
             low[s] += (at[s] if s in at else CUT_BINS) * (width / CUT_BINS)
         width /= CUT_BINS
+    # The next document goes in, too, if that comes nearer.
+    bounds = _tilts(rated.sparkSession, [(s, low[s], 0.0, 0.0) for s in lack])
+    following = rated.join(bounds, F.col("source") == F.col("src")).where((F.col("rank") >= F.col("cap")) & (F.col("rank") < 1.5))
+    for r in following.groupBy("source").agg(F.min("rank").alias("r"), F.min_by("tokens", "rank").alias("t")).collect():
+        if r["t"] < 2 * lack[r["source"]]:
+            low[r["source"]] = float(np.nextafter(r["r"], 2.0))
     return low
 
 
