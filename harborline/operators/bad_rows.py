@@ -179,4 +179,16 @@ def p5_loaded(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded}
-SQL: dict[str, str] = {}
+_F = '(?:"(?:[^"]|"")*"|[^",]*)'
+_RAW = ", ".join(f"regexp_extract(line, '^{(_F + ',') * k}({_F})', 1) AS r{k}" for k in range(5))
+_TEXT = ", ".join(f"CASE WHEN r{k} LIKE '\"%' THEN replace(substr(r{k}, 2, length(r{k}) - 2), '\"\"', '\"') ELSE trim(r{k}, ' ') END AS f{k}" for k in range(5))
+_NUMBER_SQL = r"[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?"
+_JUDGED = rf"""q AS (SELECT row_id, coalesce(line, '') AS line FROM gauge_lines), f AS (SELECT *, {_TEXT} FROM (SELECT *, {_RAW} FROM q)),
+j AS (SELECT *, CASE WHEN NOT regexp_full_match(line, '{_F}(?:,{_F})*') THEN 'quote' WHEN NOT regexp_full_match(line, '{_F},{_F},{_F},{_F},{_F}') THEN 'width'
+  WHEN f0 NOT IN (SELECT station FROM gauges WHERE station IS NOT NULL) THEN 'station'
+  WHEN NOT regexp_full_match(f1, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{{1,6}})?)?(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?') OR try_cast(substr(f1, 1, 10) AS DATE) IS NULL OR substr(f1, 1, 4) = '0000' THEN 'time'
+  WHEN f2 <> '' AND NOT (regexp_full_match(f2, '{_NUMBER_SQL}') AND coalesce(try_cast(ltrim(f2, '+') AS DOUBLE) BETWEEN -20 AND 20, FALSE)) THEN 'height' END AS reason FROM f)"""
+SQL = {
+    "p5_found": f"WITH {_JUDGED} SELECT row_id, reason FROM j WHERE reason IS NOT NULL",
+    "p5_loaded": f"""WITH {_JUDGED} SELECT row_id, f0 AS station, epoch_us(CAST(CASE WHEN regexp_matches(f1, '(Z|[+-][0-9:]{{5}})$') THEN f1 ELSE f1 || 'Z' END AS TIMESTAMPTZ)) AS utc_us, CAST(nullif(ltrim(f2, '+'), '') AS DOUBLE) AS height, nullif(f3, '') AS source, nullif(f4, '') AS note FROM j WHERE reason IS NULL""",
+}
