@@ -217,6 +217,25 @@ def decode_ids(df: DataFrame, rid: str, ids: str, path: str = f"{TOKENIZERS}/{VO
     return use.mapInArrow(run, f"id {use.schema['id'].dataType.simpleString()}, text string")
 
 
+def returns(df: DataFrame, rid: str, text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+    """(id, tokens, same): whether the ids of each text spell it again; encoded and decoded where it is read.
+
+    Null counts as empty. Lone surrogates, which no UTF-8 text holds, are kept as they are.
+    """
+    shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, memo = _built(path, shipped.value)
+        for b in batches:
+            flat, ends = _packed(b.column("text"), memo)
+            ids = flat.tolist()
+            same = [one.decode(ids[a:z]) == (t or "").encode("utf-8", "surrogatepass") for t, a, z in zip(b.column("text").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(ends), pa.int64()), pa.array(same)], ["id", "tokens", "same"])
+
+    use = df.select(F.col(rid).alias("id"), F.col(text).alias("text"))
+    return use.mapInArrow(run, f"id {use.schema['id'].dataType.simpleString()}, tokens long, same boolean")
+
+
 def p7_ids(spark, d: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
@@ -224,10 +243,7 @@ def p7_ids(spark, d: str) -> DataFrame:
 
 def p7_returned(spark, d: str) -> DataFrame:
     """Documents whose ids decode to their text, by whether they do."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    back = decode_ids(encode_texts(docs, "doc_id", "text"), "id", "ids").select("id", F.col("text").alias("got"))
-    both = docs.join(back, F.col("doc_id") == F.col("id"))
-    return both.groupBy((F.coalesce("text", F.lit("")) == F.col("got")).alias("same")).agg(F.count(F.lit(1)).alias("documents"))
+    return returns(table(spark, d, "documents"), "doc_id", "text").groupBy("same").agg(F.count(F.lit(1)).alias("documents"))
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_returned": p7_returned}

@@ -91,6 +91,7 @@ def test_encoding_on_spark(spark, reference):
     assert back == {k: t or "" for k, t in enumerate(texts)}
     sizes = {r.doc_id: r.tokens for r in tokenize.count_tokens(df, "text").collect()}
     assert sizes == {k: len(v) for k, v in got.items()}
+    assert all(r.same and r.tokens == sizes[r.id] for r in tokenize.returns(df, "doc_id", "text").collect())
     assert tokenize.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
