@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +92,15 @@ def krige_points(points: DataFrame, stations: DataFrame, value: str, range_km: f
     return use.mapInArrow(run, f"pid {use.schema['pid'].dataType.simpleString()}, mean double, variance double")
 
 
+def modes(c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(explained shares, loadings) of as many modes of a matrix of products as explain `threshold` of the variance."""
+    value, vector = np.linalg.eigh(c)
+    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    part = value / max(value.sum(), 1e-300)
+    kept = max(1, int(np.searchsorted(np.cumsum(part), threshold) + 1))
+    return part[:kept], vector[:, :kept]
+
+
 def common_modes(grid: DataFrame, threshold: float = 0.95) -> dict:
     """grid(station, unix_s, level) -> empirical orthogonal functions of the stations over their shared steps.
 
@@ -111,11 +121,52 @@ def common_modes(grid: DataFrame, threshold: float = 0.95) -> dict:
     c = np.zeros((len(names), len(names)))
     for r in sums:
         c[at[r["station"]], at[r["station2"]]] = c[at[r["station2"]], at[r["station"]]] = r["c"]
-    value, vector = np.linalg.eigh(c)
-    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
-    part = value / max(value.sum(), 1e-300)
-    kept = max(1, int(np.searchsorted(np.cumsum(part), threshold) + 1))
-    return {"stations": names, "means": [means[s][0] for s in names], "loadings": vector[:, :kept], "explained": part[:kept]}
+    part, vector = modes(c, threshold)
+    return {"stations": names, "means": [means[s][0] for s in names], "loadings": vector, "explained": part}
+
+
+def regional_modes(grid: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """grid(region_name, station, unix_s, level) -> (region_name, station, mode, loading, explained): the modes of every region.
+
+    As common_modes(), for each region by itself, null being one of them. Each step's readings are set side by side and the
+    partitions add up products of stations, so no series meets in one task; a region's matrix (at most STATIONS) is decomposed
+    in one. A region of one station has that station as its mode; a region without shared steps has no row.
+    """
+    same = F.col("region_name").eqNullSafe(F.col("_r"))
+    counts = grid.select(F.col("region_name").alias("_r"), "station").distinct().groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    steps = grid.groupBy("region_name", "unix_s").agg(F.array_sort(F.collect_list(F.struct("station", "level"))).alias("x")).join(small(counts), same).where(F.size("x") == F.col("_n"))
+    steps = steps.select("region_name", F.col("x.station").alias("stations"), F.col("x.level").alias("levels"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for region, names, levels in zip(*(b.column(c).to_pylist() for c in ("region_name", "stations", "levels")), strict=True):
+                x = np.asarray(levels, float)
+                if len(x) > STATIONS:
+                    raise ValueError(f"a network has more than {STATIONS} rows")
+                # About the first step of the partition: sums of squares of the levels themselves would lose digits.
+                one = held.setdefault(region, [names, x, np.zeros(len(x)), np.zeros((len(x), len(x))), 0])
+                one[2] += x - one[1]
+                one[3] += np.outer(x - one[1], x - one[1])
+                one[4] += 1
+        rows = list(held.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v[0] for _, v in rows], pa.list_(pa.string())), *(pa.array([v[j].ravel().tolist() for _, v in rows], pa.list_(pa.float64())) for j in (1, 2, 3)), pa.array([v[4] for _, v in rows], pa.int64())], ["region_name", "stations", "origin", "sums", "products", "n"])
+
+    schema = "region_name string, station string, mode int, loading double, explained double"
+
+    def decompose(part: pd.DataFrame) -> pd.DataFrame:
+        names = list(part["stations"].iloc[0])
+        n, mean, c = 0, np.zeros(len(names)), np.zeros((len(names), len(names)))
+        for r in part.itertuples():
+            sums, own = np.asarray(r.sums) / r.n, np.asarray(r.products).reshape(c.shape)
+            d = np.asarray(r.origin) + sums - mean
+            c += own - r.n * np.outer(sums, sums) + np.outer(d, d) * n * r.n / (n + r.n)
+            mean, n = mean + d * r.n / (n + r.n), n + r.n
+        share, vector = modes(c, threshold)
+        return pd.DataFrame([(part["region_name"].iloc[0], s, k, vector[j, k], share[k]) for j, s in enumerate(names) for k in range(len(share))], columns=[x.split(" ")[0] for x in schema.split(", ")])
+
+    parts = steps.mapInArrow(add, "region_name string, stations array<string>, origin array<double>, sums array<double>, products array<double>, n long")
+    return parts.groupBy("region_name").applyInPandas(decompose, schema)
 
 
 def constants(gauges: DataFrame) -> DataFrame:
@@ -227,14 +278,12 @@ def ref_krige(spark, d: str) -> DataFrame:
 
 
 def ref_modes(spark, d: str) -> DataFrame:
-    """Common modes of the predicted hourly curves of one region's stations: loadings and explained share."""
+    """Common modes of the predicted hourly curves of every region's stations: loadings and explained share."""
     from harborline.operators.tides import hours, predict, published_models
 
-    models = published_models(table(spark, d, "gauges")).where("region_name = 'quillane'")
-    grid = predict(hours(models, "2025-01-01", 15), models).selectExpr("station", "us DIV 1000000 AS unix_s", "tide AS level")
-    got = common_modes(grid)
-    rows = [(s, k, float(abs(got["loadings"][j, k])), float(got["explained"][k])) for j, s in enumerate(got["stations"]) for k in range(len(got["explained"]))]
-    return spark.createDataFrame(rows, "station string, mode int, loading double, explained double").select("station", "mode", F.round("loading", 4).alias("loading"), F.round("explained", 4).alias("explained"))
+    models = published_models(table(spark, d, "gauges"))
+    grid = predict(hours(models, "2025-01-01", 15), models).join(small(models.select("station", "region_name")), "station").selectExpr("region_name", "station", "us DIV 1000000 AS unix_s", "tide AS level")
+    return regional_modes(grid).select("region_name", "station", "mode", F.round(F.abs("loading"), 4).alias("loading"), F.round("explained", 4).alias("explained"))
 
 
 QUERIES = {f.__name__: f for f in (ref_grid, ref_station_pairs, ref_grid_nearest, ref_grid_blend, ref_grid_check, ref_prior, ref_pool, ref_transfer, ref_idw, ref_krige, ref_modes)}

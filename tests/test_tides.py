@@ -4,6 +4,7 @@ import json
 import math
 import random
 from datetime import datetime, timezone
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from harborline.sources import netcdf, sinks, text
 from harborline.streaming import live
 
 HOUR = series.HOUR
+SMALL = Path("/root/testdata/sf0.001")
 T0 = 1_704_067_200_000_000  # 2024-01-01
 TRUTH = {"M2": (1.0, 0.5), "S2": (0.30, -1.2), "N2": (0.20, 2.0), "K1": (0.15, 0.0), "O1": (0.10, 2.8)}
 
@@ -195,6 +197,28 @@ def test_common_modes_rebuild_the_series(spark):
         network.common_modes(spark.createDataFrame(rows[:10], "station string, unix_s long, level double"))
 
 
+def test_modes_of_every_region(spark):
+    rnd = np.random.default_rng(0)
+    x = np.outer([1.0, 0.5, -0.2, 0.9, 1.0], np.sin(np.arange(200) / 5)) + rnd.normal(0, 0.01, (5, 200)) + 50 * np.arange(5)[:, None]
+    region = ["a", "a", "a", None, None]
+    rows = [(region[j], f"s{j}", t, float(x[j, t])) for j in range(5) for t in range(200)] + [("a", "s0", 900, 1.0), ("alone", "s9", 0, 1.0), ("alone", "s9", 1, 2.0)]
+    got = network.regional_modes(spark.createDataFrame(rows, "region_name string, station string, unix_s long, level double").repartition(3)).collect()
+    assert {(r.region_name, r.station) for r in got} == {*((region[j], f"s{j}") for j in range(5)), ("alone", "s9")}
+    for r in got:
+        mine = [j for j in range(5) if region[j] == r.region_name]
+        if mine:
+            value, vector = np.linalg.eigh(np.cov(x[mine]))
+            assert (abs(r.loading), r.explained) == (pytest.approx(abs(vector[mine.index(int(r.station[1])), -1]), abs=1e-6), pytest.approx(value[-1] / value.sum(), abs=1e-6))
+        else:
+            assert (r.mode, abs(r.loading), r.explained) == (0, 1.0, 1.0)
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test data here")
+def test_modes_cover_the_register(spark):
+    stations = {r.station for r in spark.read.parquet(f"{SMALL}/gauges.parquet").collect() if r.station is not None}
+    assert {r.station for r in network.ref_modes(spark, str(SMALL)).collect()} == stations
+
+
 def test_regional_prior(spark):
     z, var = np.array([1.0, 1.2, 0.7]), np.array([0.01, 0.02, 0.005])
     parts = spark.createDataFrame([("r", "M2", float(a), float(b)) for a, b in zip(z, var)] + [("r", "K1", 0.5, 0.1)], "region_name string, name string, z double, var double")
