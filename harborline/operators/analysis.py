@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harborline.common import small, table
 from harborline.functions import normal
 from harborline.operators import series
-from harborline.operators.fitting import BASIC, choose, product_sums, solve_sums
+from harborline.operators.fitting import CANDIDATES, choose, product_sums, solve_sums
 from harborline.operators.network import constants
 from harborline.operators.scores import _P as SCORED_SQL
 from harborline.operators.scores import persistence
@@ -44,7 +44,7 @@ def ar1_forecast(last: Column, phi: Column, sigma_eps: Column, steps: int) -> Co
     return F.transform(h, lambda k: F.struct(k.alias("step"), (fade(k) * last).alias("mean"), var(k).alias("variance")))
 
 
-def attribution(obs: DataFrame, names: list[str] = BASIC, min_obs: int = 48) -> DataFrame:
+def attribution(obs: DataFrame, names: list[str] = CANDIDATES, min_obs: int = 48) -> DataFrame:
     """obs(station, us, height) -> (station, name, variance, share): how much each constituent adds to the curve's variance.
 
     The mean over the readings of the 2 x 2 blocks' quadratic forms is taken from the sums of products of the fit itself.

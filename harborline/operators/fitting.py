@@ -7,7 +7,7 @@ merged by station: no station's readings meet in one task, and the selection by
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.common import small, table
+from harborline.common import materialize, small, table
 from harborline.functions import astro
 from harborline.operators.blocks import ordered_blocks
 from harborline.operators.series import _P, _obs, _predicted, with_neighbours
 from harborline.plans.steps import with_steps
 
 BASIC = ["M2", "S2", "N2", "K1", "O1"]
+#: Candidates of the queries and jobs: the whole catalogue, dominant first.
+CANDIDATES = [c.name for c in astro.CATALOG]
 #: Readings of a series smoothed at once, and by how many its blocks overlap.
 SMOOTHED, OVERLAP = 200_000, 2_000
 #: Stations whose sums one partition holds before it hands them on.
@@ -32,14 +34,39 @@ FIT = (
 )
 
 
+ARGUMENTS = ("tau", "s", "h", "p", "n", "pp")
+
+
+def with_astronomy(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """df(us) with what basis_columns() needs, and the columns' names.
+
+    The sines and cosines of the whole catalogue would make generated code too large to be compiled; arguments and factors do not.
+    """
+    families = sorted({astro.BY_NAME[n].family for n in names})
+    nodes = {k: v for k, v in astro.node_steps()[0].items() if k[2:] in families}
+    return with_steps(df, [*astro.state_steps(), nodes]), [*ARGUMENTS, *nodes]
+
+
+def basis_columns(x: Mapping, names: list[str]) -> list[np.ndarray]:
+    """f cos(V + u) and f sin(V + u) of each constituent, from arrays of the columns of with_astronomy()."""
+    out = []
+    for c in (astro.BY_NAME[n] for n in names):
+        angle = np.radians(sum(d * x[a] for d, a in zip(c.doodson, ARGUMENTS, strict=True) if d) + c.phase0 + c.power * x[f"u_{c.family}"])
+        f = x[f"f_{c.family}"] ** c.power
+        out += [f * np.cos(angle), f * np.sin(angle)]
+    return out
+
+
 def product_sums(obs: DataFrame, names: list[str]) -> DataFrame:
     """obs(station, us, height) -> (station, sums, n, first_us, last_us); sums: of products of [1, c, s, ..., height], flat.
 
     Null stations, times or heights, NaN and infinite heights take no part.
     """
-    basis = with_steps(obs.where("station IS NOT NULL AND us IS NOT NULL AND abs(height) < 1e300"), astro.basis_steps([astro.BY_NAME[n] for n in names]))
-    columns = [f"{k}_{n}" for n in names for k in "cs"]
-    size = len(columns) + 2
+    basis, columns = with_astronomy(obs.where("station IS NOT NULL AND us IS NOT NULL AND abs(height) < 1e300"), names)
+    size = 2 * len(names) + 2
+    upper = np.triu_indices(size)  # only these leave the partitions
+    full = np.zeros((size, size), int)
+    full[upper] = full.T[upper] = np.arange(len(upper[0]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -47,12 +74,12 @@ def product_sums(obs: DataFrame, names: list[str]) -> DataFrame:
         def out() -> pa.RecordBatch:
             rows = list(held.items())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v[0].ravel().tolist() for _, v in rows], pa.list_(pa.float64())), *(pa.array([v[j] for _, v in rows], pa.int64()) for j in (1, 2, 3))], ["station", "sums", "n", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v[0][upper].tolist() for _, v in rows], pa.list_(pa.float64())), *(pa.array([v[j] for _, v in rows], pa.int64()) for j in (1, 2, 3))], ["station", "sums", "n", "a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.column_stack([np.ones(b.num_rows), *(b.column(c).to_numpy(zero_copy_only=False) for c in columns), b.column("height").to_numpy(zero_copy_only=False)])
+            x = np.column_stack([np.ones(b.num_rows), *basis_columns({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}, names), b.column("height").to_numpy(zero_copy_only=False)])
             us = b.column("us").to_numpy(zero_copy_only=False)
             who, at = np.unique(np.asarray(b.column("station").to_pylist(), dtype=str), return_inverse=True)
             for k, name in enumerate(who.tolist()):
@@ -68,7 +95,7 @@ def product_sums(obs: DataFrame, names: list[str]) -> DataFrame:
 
     part = basis.select("station", "us", "height", *columns).mapInArrow(add, "station string, sums array<double>, n long, a long, b long")
     merged = part.select("station", "n", "a", "b", F.posexplode("sums").alias("k", "x")).groupBy("station", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return merged.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kx"), F.max("n").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us")).select("station", F.transform("kx", lambda s: s["x"]).alias("sums"), "n", "first_us", "last_us")
+    return merged.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kx"), F.max("n").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us")).select("station", F.expr(f"transform(array({', '.join(map(str, full.ravel()))}), i -> kx[i].x)").alias("sums"), "n", "first_us", "last_us")
 
 
 def f_tail(f: float, d2: float) -> float:
@@ -138,7 +165,10 @@ def solve_sums(g: np.ndarray, n: int, names: list[str], chosen: list[str]) -> di
 
 
 def fit(obs: DataFrame, names: list[str] = BASIC, select: bool = True, alpha: float = 0.05, min_obs: int = 48) -> DataFrame:
-    """obs(station, us, height) -> one model per station with at least `min_obs` readings and a solvable system."""
+    """obs(station, us, height) -> one model per station with at least `min_obs` readings and a solvable system.
+
+    Queries and jobs select among CANDIDATES; without `names` only the five largest are tried.
+    """
     sums = product_sums(obs, names).where(F.col("n") >= min_obs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,10 +185,9 @@ def fit(obs: DataFrame, names: list[str] = BASIC, select: bool = True, alpha: fl
     return sums.mapInPandas(run, FIT)
 
 
-def predict_bands(times: DataFrame, models: DataFrame, names: list[str] = BASIC, z: float = 1.96) -> DataFrame:
+def predict_bands(times: DataFrame, models: DataFrame, names: list[str] = CANDIDATES, z: float = 1.96) -> DataFrame:
     """times(station, us) with fitted models -> mean, lower, upper, se: the band adds the coefficients' and readings' variance."""
-    basis = with_steps(times.select("station", "us"), astro.basis_steps([astro.BY_NAME[n] for n in names]))
-    columns = [f"{k}_{n}" for n in names for k in "cs"]
+    basis, columns = with_astronomy(times.select("station", "us"), names)
     joined = basis.select("station", "us", *columns).join(small(models.select("station", F.col("names").alias("_names"), "coef", "covariance", "sigma2")), "station")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +195,7 @@ def predict_bands(times: DataFrame, models: DataFrame, names: list[str] = BASIC,
             parts = []
             for station, part in b.groupby("station", sort=False):
                 one = part.iloc[0]
-                g = np.column_stack([np.ones(len(part)), *(part[f"{k}_{n}"] for n in one["_names"] for k in "cs")])
+                g = np.column_stack([np.ones(len(part)), *basis_columns({c: part[c].to_numpy() for c in columns}, list(one["_names"]))])
                 mean = g @ np.asarray(one["coef"])
                 var = np.maximum(np.einsum("ij,jk,ik->i", g, np.stack([np.asarray(x) for x in one["covariance"]]), g), 0)
                 half = z * np.sqrt(var + one["sigma2"])
@@ -363,7 +392,7 @@ def smooth(series: DataFrame, phi: float = 0.95, q_surge: float = 1e-3, q_level:
 
 def ref_fit(spark, d: str) -> DataFrame:
     """Amplitude and phase of each station's fitted constituents."""
-    models = fit(_obs(spark, d).where(F.abs("height") < 25))
+    models = fit(_obs(spark, d).where(F.abs("height") < 25), CANDIDATES)
     each = models.select("station", "n_obs", F.round("rmse", 4).alias("rmse"), F.explode(F.arrays_zip("names", "amplitude", "phase_deg", "sigma_amp")).alias("c"))
     return each.select("station", "n_obs", "rmse", F.col("c.names").alias("name"), F.round("c.amplitude", 4).alias("amplitude"), F.round("c.phase_deg", 2).alias("phase_deg"), F.round("c.sigma_amp", 5).alias("sigma_amp"))
 
@@ -371,7 +400,7 @@ def ref_fit(spark, d: str) -> DataFrame:
 def ref_fit_bands(spark, d: str) -> DataFrame:
     """Coverage and width of the fitted models' 95 % bands over the readings."""
     obs = _obs(spark, d).where(F.abs("height") < 25)
-    bands = predict_bands(obs, fit(obs)).join(obs.select("station", "us", "height"), ["station", "us"])
+    bands = predict_bands(obs, materialize(fit(obs, CANDIDATES), "models")).join(obs.select("station", "us", "height"), ["station", "us"])
     return bands.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("height").between(F.col("lower"), F.col("upper")).cast("double")), 4).alias("coverage"), F.round(F.avg(F.col("upper") - F.col("lower")), 3).alias("width"))
 
 

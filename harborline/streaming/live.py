@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harborline.functions import astro
-from harborline.operators.fitting import BASIC
+from harborline.operators.fitting import CANDIDATES
 from harborline.plans.steps import with_steps
 
 FEED = "station string, t timestamp, height double"
@@ -43,7 +43,7 @@ class Nowcast:
     OUT = "station string, us long, forecast double, se double, innovation double, surge double"
     STATE = "coef array<double>, cov array<double>, surge double, last_us long, n long"
 
-    def __init__(self, models: list[tuple], names: list[str] = BASIC, q_mean: float = 1e-8, q_coef: float = 1e-10, r: float = 4e-4, phi: float = 0.9) -> None:
+    def __init__(self, models: list[tuple], names: list[str] = CANDIDATES, q_mean: float = 1e-8, q_coef: float = 1e-10, r: float = 4e-4, phi: float = 0.9) -> None:
         """models: (station, coef, covariance or None, sigma2 or None) of fitted or published constants, one per station."""
         self.names, self.q_mean, self.q_coef, self.r, self.phi = names, q_mean, q_coef, r, phi
         self.models = {m[0]: m[1:] for m in models}

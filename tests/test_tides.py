@@ -430,3 +430,20 @@ def test_jobs(spark, tmp_path, tide_series):
     main(["fit", "--obs", str(tmp_path / "obs"), "--out", str(tmp_path / "models")])
     main(["predict", "--models", str(tmp_path / "models"), "--first", "2024-02-01", "--days", "2", "--out", str(tmp_path / "curve")])
     assert spark.read.parquet(str(tmp_path / "curve")).count() == 48
+
+
+def test_selection_reaches_the_whole_catalogue(spark, tmp_path):
+    from harborline.operators import analysis
+
+    truth = {"M2": 1.0, "K1": 0.2, "Q1": 0.1, "M4": 0.15, "Mf": 0.12}
+    rows = spark.range(60 * 24).selectExpr("'p' AS station", f"{T0} + id * {HOUR} AS us")
+    height = " + ".join(f"{a} * c_{n}" for n, a in truth.items())
+    obs = with_steps(rows, astro.basis_steps([astro.BY_NAME[n] for n in truth])).selectExpr("us AS obs_id", "0L AS upload_id", "station", "timestamp_micros(us) AS t", f"{height} + 0.02 * randn(1) AS height")
+    obs.write.parquet(str(tmp_path / "obs.parquet"))
+    fitted = {r.name: r for r in fitting.ref_fit(spark, str(tmp_path)).collect()}
+    assert set(truth) <= set(fitted) and all(fitted[n].amplitude == pytest.approx(a, abs=0.005) for n, a in truth.items())
+    assert fitted["M2"].rmse < 0.025
+    bands = fitting.ref_fit_bands(spark, str(tmp_path)).first()
+    assert bands.n == 1440 and 0.9 <= bands.coverage <= 0.99 and bands.width < 0.1
+    assert {r.name for r in analysis.ref_attribution(spark, str(tmp_path)).collect()} == set(fitted)
+    assert live.Nowcast([]).names == [c.name for c in astro.CATALOG]
