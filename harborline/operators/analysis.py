@@ -11,7 +11,7 @@ from harborline.common import small, table
 from harborline.functions import normal
 from harborline.operators import series
 from harborline.operators.fitting import CANDIDATES, choose, product_sums, solve_sums
-from harborline.operators.network import constants
+from harborline.operators.network import both_parts, constants
 from harborline.operators.scores import _P as SCORED_SQL
 from harborline.operators.scores import persistence
 from harborline.operators.series import _ISLANDS, _R, HOUR, _obs, _residuals, order_statistic, runs
@@ -143,6 +143,16 @@ def ref_leave_one_out(spark, d: str) -> DataFrame:
     return got.select("source", "name", "k", F.round(F.col("twa") / F.col("tw"), 6).alias("with_it"), F.when(F.col("tw") > F.col("w"), F.round((F.col("twa") - F.col("wa")) / (F.col("tw") - F.col("w")), 6)).alias("without_it"))
 
 
+def ref_leave_one_out_parts(spark, d: str) -> DataFrame:
+    """As ref_leave_one_out, for the cosine (a) and the sine (b) part."""
+    g = table(spark, d, "gauges")
+    c = both_parts(constants(g)).join(small(g.select("station", "source").dropDuplicates(["station"])), "station")
+    part = c.groupBy(F.coalesce("source", F.lit("unknown")).alias("source"), "name", "part").agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("var")).alias("w"), F.sum(F.col("z") / F.col("var")).alias("wz"))
+    w = Window.partitionBy("name", "part")  # sources are few
+    got = part.withColumns({"tw": F.sum("w").over(w), "twz": F.sum("wz").over(w)})
+    return got.select("source", "name", "part", "k", F.round(F.col("twz") / F.col("tw"), 6).alias("with_it"), F.when(F.col("tw") > F.col("w"), F.round((F.col("twz") - F.col("wz")) / (F.col("tw") - F.col("w")), 6)).alias("without_it"))
+
+
 def ref_ledger_once(spark, d: str) -> DataFrame:
     """Each decision once: of entries with the same station, time text, threshold and probability the last holds, with what any resolved."""
     rows = table(spark, d, "ledger")
@@ -163,7 +173,7 @@ def ref_attribution(spark, d: str) -> DataFrame:
     return attribution(_obs(spark, d).where(F.abs("height") < 25)).select("station", "name", F.round("share", 4).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (ref_flood, ref_tide_rate, ref_regimes, ref_safe_windows, ref_compare, ref_constituent_sets, ref_leave_one_out, ref_ledger_once, ref_ar1_forecast, ref_attribution)}
+QUERIES = {f.__name__: f for f in (ref_flood, ref_tide_rate, ref_regimes, ref_safe_windows, ref_compare, ref_constituent_sets, ref_leave_one_out, ref_leave_one_out_parts, ref_ledger_once, ref_ar1_forecast, ref_attribution)}
 
 _DAY = predict_sql(_HOURS.format(first="2025-01-01", n=24))
 _LAG = f"{_R}, b AS (SELECT *, lag(resid) OVER (PARTITION BY upload_id ORDER BY us, obs_id) AS bf FROM r)"
@@ -187,6 +197,9 @@ SELECT name, coalesce(stations, 0) AS stations, coalesce(points, 0) AS points, C
     "ref_leave_one_out": """WITH c AS (SELECT coalesce(source, 'unknown') AS source, c.name AS name, c.amplitude * cos(radians(c.phase)) AS a, greatest(coalesce(n, 1), 1) AS w FROM (SELECT *, unnest(constituents) AS c FROM gauges)),
 p AS (SELECT source, name, count(*) AS k, sum(w) AS w, sum(a * w) AS wa FROM c GROUP BY 1, 2), t AS (SELECT *, sum(w) OVER (PARTITION BY name) AS tw, sum(wa) OVER (PARTITION BY name) AS twa FROM p)
 SELECT source, name, k, round(twa / tw, 6) AS with_it, CASE WHEN tw > w THEN round((twa - wa) / (tw - w), 6) END AS without_it FROM t""",
+    "ref_leave_one_out_parts": """WITH c AS (SELECT coalesce(source, 'unknown') AS source, c.name AS name, part, c.amplitude * CASE part WHEN 'a' THEN cos(radians(c.phase)) ELSE sin(radians(c.phase)) END AS z, greatest(coalesce(n, 1), 1) AS w FROM (SELECT *, unnest(constituents) AS c FROM gauges), (VALUES ('a'), ('b')) AS y(part)),
+p AS (SELECT source, name, part, count(*) AS k, sum(w) AS w, sum(z * w) AS wz FROM c GROUP BY 1, 2, 3), t AS (SELECT *, sum(w) OVER (PARTITION BY name, part) AS tw, sum(wz) OVER (PARTITION BY name, part) AS twz FROM p)
+SELECT source, name, part, k, round(twz / tw, 6) AS with_it, CASE WHEN tw > w THEN round((twz - wz) / (tw - w), 6) END AS without_it FROM t""",
     "ref_ledger_once": "SELECT max(entry_id) AS entry_id, count(*) AS logged, arg_max(realized_level, entry_id) FILTER (realized_level IS NOT NULL) AS realized_level FROM ledger GROUP BY station, time, threshold_m, probability",
     "ref_ar1_forecast": f"""WITH {_LAG}, m AS (SELECT station, round(sum(resid * bf) / sum(bf * bf), 6) AS phi, round(stddev_samp(resid - bf), 6) AS eps FROM b WHERE bf IS NOT NULL GROUP BY 1),
 l AS (SELECT upload_id, arg_max(station, (us, obs_id)) AS station, arg_max(resid, (us, obs_id)) AS last FROM r GROUP BY 1)

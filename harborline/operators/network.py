@@ -246,6 +246,39 @@ def ref_pool(spark, d: str) -> DataFrame:
     return got.select("station", "name", F.round(w * F.col("z") + (1 - w) * F.col("mu"), 5).alias("pooled"), F.round(1 - w, 5).alias("shrinkage"))
 
 
+def both_parts(rows: DataFrame) -> DataFrame:
+    """constants() -> a row for each of the parts a (cosine) and b (sine): (station, region_name, name, part, z, var)."""
+    return rows.select("station", "region_name", "name", "var", F.inline(F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("z")) for c in "ab")))).select("station", "region_name", "name", "part", "z", "var")
+
+
+def prior_of_parts(parts: DataFrame) -> DataFrame:
+    """regional_prior() for each part by itself: (region_name, name, part, k, mu, tau2)."""
+    keyed = parts.withColumn("name", F.struct("name", "part"))
+    return regional_prior(keyed).select("region_name", "name.name", "name.part", "k", "mu", "tau2")
+
+
+def pool_constants(parts: DataFrame) -> DataFrame:
+    """(station, name, a, b, amplitude, phase, shrinkage_a, shrinkage_b): both parts shrunk towards the regional prior of each."""
+    got = parts.join(small(prior_of_parts(parts)), ["region_name", "name", "part"])
+    w = F.when(F.col("k") == 1, 1.0).otherwise(F.col("tau2") / (F.col("tau2") + F.greatest(F.col("var"), F.lit(1e-24))))
+    pooled = got.select("station", "name", "part", (w * F.col("z") + (1 - w) * F.col("mu")).alias("x"), (1 - w).alias("s"))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    each = pooled.groupBy("station", "name").agg(of("a", "x").alias("a"), of("b", "x").alias("b"), of("a", "s").alias("shrinkage_a"), of("b", "s").alias("shrinkage_b"))
+    return each.select("station", "name", "a", "b", F.hypot("a", "b").alias("amplitude"), F.expr(circular("degrees(atan2(b, a))")).alias("phase"), "shrinkage_a", "shrinkage_b")
+
+
+def ref_prior_parts(spark, d: str) -> DataFrame:
+    """Regional prior of the cosine and the sine part of each constituent."""
+    got = prior_of_parts(both_parts(constants(table(spark, d, "gauges")).where("region_name IS NOT NULL")))
+    return got.select("region_name", "name", "part", "k", F.round("mu", 6).alias("mu"), F.round("tau2", 6).alias("tau2"))
+
+
+def ref_pool_constants(spark, d: str) -> DataFrame:
+    """Each station's constants with both parts pooled: parts, amplitude and phase, and how far each part was shrunk."""
+    got = pool_constants(both_parts(constants(table(spark, d, "gauges")).where("region_name IS NOT NULL")))
+    return got.select("station", "name", *(F.round(c, 5).alias(c) for c in ("a", "b", "amplitude")), F.round("phase", 3).alias("phase"), *(F.round(c, 5).alias(c) for c in ("shrinkage_a", "shrinkage_b")))
+
+
 def ref_transfer(spark, d: str) -> DataFrame:
     """Gain and phase shift of each constituent from the neighbours within 100 km to each station's nearest neighbour."""
     g = _gauges(spark, d)
@@ -286,7 +319,7 @@ def ref_modes(spark, d: str) -> DataFrame:
     return regional_modes(grid).select("region_name", "station", "mode", F.round(F.abs("loading"), 4).alias("loading"), F.round("explained", 4).alias("explained"))
 
 
-QUERIES = {f.__name__: f for f in (ref_grid, ref_station_pairs, ref_grid_nearest, ref_grid_blend, ref_grid_check, ref_prior, ref_pool, ref_transfer, ref_idw, ref_krige, ref_modes)}
+QUERIES = {f.__name__: f for f in (ref_grid, ref_station_pairs, ref_grid_nearest, ref_grid_blend, ref_grid_check, ref_prior, ref_pool, ref_prior_parts, ref_pool_constants, ref_transfer, ref_idw, ref_krige, ref_modes)}
 
 _ON = "{t}.lat BETWEEN -90 AND 90 AND {t}.lon BETWEEN -180 AND 360"
 _KM = f"(2 * {EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))))"
@@ -298,7 +331,16 @@ _CONST = "cc AS (SELECT station, region_name, c.name AS name, c.amplitude AS amp
 _PRIOR = f"""{_CONST}, v AS (SELECT *, 1.0 / greatest(var, 1e-24) AS w FROM cc WHERE region_name IS NOT NULL), f AS (SELECT region_name, name, count(*) AS k, sum(w * z) / sum(w) AS mu, sum(w) AS sw, sum(w * w) AS sw2 FROM v GROUP BY 1, 2),
 t AS (SELECT region_name, name, k, mu, CASE WHEN k > 1 AND sw - sw2 / sw > 0 THEN greatest(0.0, (q - (k - 1)) / (sw - sw2 / sw)) ELSE 0 END AS tau2
   FROM (SELECT f.*, (SELECT sum(w * pow(z - f.mu, 2)) FROM v WHERE v.region_name = f.region_name AND v.name = f.name) AS q FROM f))"""
+_PARTS = """cc AS (SELECT station, region_name, c.name AS name, part, c.amplitude * CASE part WHEN 'a' THEN cos(radians(c.phase)) ELSE sin(radians(c.phase)) END AS z, 1.0 / greatest(coalesce(n, 1), 1) AS var
+FROM (SELECT *, unnest(constituents) AS c FROM gauges), (VALUES ('a'), ('b')) AS y(part) WHERE region_name IS NOT NULL),
+v AS (SELECT *, 1.0 / greatest(var, 1e-24) AS w FROM cc), f AS (SELECT region_name, name, part, count(*) AS k, sum(w * z) / sum(w) AS mu, sum(w) - sum(w * w) / sum(w) AS den FROM v GROUP BY 1, 2, 3),
+e AS (SELECT region_name, name, part, sum(w * pow(z - mu, 2)) AS q FROM v JOIN f USING (region_name, name, part) GROUP BY 1, 2, 3),
+t AS (SELECT region_name, name, part, k, mu, CASE WHEN k > 1 AND den > 0 THEN greatest(0.0, (q - (k - 1)) / den) ELSE 0 END AS tau2 FROM f JOIN e USING (region_name, name, part))"""
 SQL = {
+    "ref_prior_parts": f"WITH {_PARTS} SELECT region_name, name, part, k, round(mu, 6) AS mu, round(tau2, 6) AS tau2 FROM t",
+    "ref_pool_constants": f"""WITH {_PARTS}, x AS (SELECT *, CASE WHEN k = 1 THEN 1.0 ELSE tau2 / (tau2 + greatest(var, 1e-24)) END AS wt FROM cc JOIN t USING (region_name, name, part)),
+y AS (SELECT station, name, max(CASE part WHEN 'a' THEN wt * z + (1 - wt) * mu END) AS a, max(CASE part WHEN 'b' THEN wt * z + (1 - wt) * mu END) AS b, max(CASE part WHEN 'a' THEN 1 - wt END) AS sa, max(CASE part WHEN 'b' THEN 1 - wt END) AS sb FROM x GROUP BY 1, 2)
+SELECT station, name, round(a, 5) AS a, round(b, 5) AS b, round(sqrt(a * a + b * b), 5) AS amplitude, round({circular('degrees(atan2(b, a))')}, 3) AS phase, round(sa, 5) AS shrinkage_a, round(sb, 5) AS shrinkage_b FROM y""",
     "ref_grid": f"WITH {_GRID} SELECT * FROM c",
     "ref_station_pairs": f"WITH {_GRID} SELECT p.station, q.station AS other, round({_KM}, 4) AS km FROM s p JOIN s q ON p.station < q.station WHERE {_KM} <= 150.0",
     "ref_grid_nearest": f"WITH {_NEAR} SELECT station, point_id, round(km, 4) AS km, constituent, amplitude, phase FROM k JOIN c USING (point_id) WHERE r = 1",

@@ -447,3 +447,15 @@ def test_selection_reaches_the_whole_catalogue(spark, tmp_path):
     assert bands.n == 1440 and 0.9 <= bands.coverage <= 0.99 and bands.width < 0.1
     assert {r.name for r in analysis.ref_attribution(spark, str(tmp_path)).collect()} == set(fitted)
     assert live.Nowcast([]).names == [c.name for c in astro.CATALOG]
+
+
+def test_pooling_keeps_both_parts(spark):
+    rows = [(f"s{j}", "r", "M2", part, z, 0.01) for part, values in (("a", (1.0, 1.4, 0.6)), ("b", (-0.5, -0.5, -0.5))) for j, z in enumerate(values)]
+    parts = spark.createDataFrame([*rows, ("s9", "r", "K1", "a", 0.0, 0.1), ("s9", "r", "K1", "b", 0.3, 0.1)], "station string, region_name string, name string, part string, z double, var double")
+    prior = {(r.name, r.part): r for r in network.prior_of_parts(parts).collect()}
+    assert prior["M2", "a"].tau2 == pytest.approx(0.15) and prior["M2", "b"].tau2 == 0.0 and prior["M2", "b"].mu == pytest.approx(-0.5)
+    got = {(r.station, r.name): r for r in network.pool_constants(parts).collect()}
+    one = got["s1", "M2"]
+    assert (one.a, one.b) == (pytest.approx(1.4 * 0.9375 + 1.0 * 0.0625), pytest.approx(-0.5))
+    assert (one.amplitude, one.phase) == (pytest.approx(math.hypot(one.a, one.b)), pytest.approx(math.degrees(math.atan2(one.b, one.a)) % 360))
+    assert (got["s9", "K1"].amplitude, got["s9", "K1"].phase, got["s9", "K1"].shrinkage_b) == (pytest.approx(0.3), pytest.approx(90.0), 0.0)
