@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.common import materialize, small, table
+from harborline.common import materialize, small, table, take_bounded
 from harborline.functions import astro
 from harborline.operators.blocks import ordered_blocks
 from harborline.operators.series import _P, _obs, _predicted, with_neighbours
@@ -24,8 +24,8 @@ from harborline.plans.steps import with_steps
 BASIC = ["M2", "S2", "N2", "K1", "O1"]
 #: Candidates of the queries and jobs: the whole catalogue, dominant first.
 CANDIDATES = [c.name for c in astro.CATALOG]
-#: Readings of a series smoothed at once, and by how many its blocks overlap.
-SMOOTHED, OVERLAP = 200_000, 2_000
+#: Readings of a series smoothed at once, and the most blocks of longer series.
+SMOOTHED, BLOCKS = 200_000, 100_000
 #: Stations whose sums one partition holds before it hands them on.
 HELD = 2_000
 FIT = (
@@ -365,29 +365,134 @@ def kalman(y: np.ndarray, f: np.ndarray, h: np.ndarray, q: np.ndarray, r: float,
     return xs, ps
 
 
+def block_filter(y: np.ndarray, f: np.ndarray, h: np.ndarray, q: np.ndarray, r: float) -> tuple[np.ndarray, ...]:
+    """What a block of readings does to any state x before it, as (a, b, c, eta, j): its readings tell of x as much as the
+    information j with the vector eta, and given x the state after it has mean a x + b and covariance c. As kalman()."""
+    k = len(h)
+    a, b, c, eta, j = np.eye(k), np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros((k, k))
+    for t in range(len(y)):
+        a, b, c = f[t] @ a, f[t] @ b, f[t] @ c @ f[t].T + q[t]
+        if np.isfinite(y[t]):
+            g, seen, off = c @ h, h @ a, y[t] - h @ b
+            s = float(h @ g + r)
+            eta, j = eta + seen * off / s, j + np.outer(seen, seen) / s
+            a, b, c = a - np.outer(g, seen) / s, b + g * off / s, c - np.outer(g, g) / s
+    return a, b, c, eta, j
+
+
+def after_block(x: np.ndarray, p: np.ndarray, block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered state and covariance after a block from those before it."""
+    a, b, c, eta, j = block
+    known = np.linalg.solve(np.eye(len(x)) + p @ j, np.column_stack([x + p @ eta, p]))
+    return a @ known[:, 0] + b, a @ known[:, 1:] @ a.T + c
+
+
 def smooth(series: DataFrame, phi: float = 0.95, q_surge: float = 1e-3, q_level: float = 1e-9, r: float = 4e-4) -> DataFrame:
     """series(key, us, height, tide) -> level, trend and AR(1) surge of height less tide, smoothed over the record.
 
     phi holds for an hour and is raised to the hours between readings. Series of more than SMOOTHED readings are smoothed in
-    blocks that overlap by OVERLAP readings on both sides, long after which the surge has forgotten where it began.
+    blocks, exactly as if they were whole: a first pass says what each block does to any state before it, a second, from the
+    true filtered state at its start, what it makes of any smoothed state after it, and a third smooths. Only these few
+    numbers a block (at most BLOCKS) meet on the driver.
     """
-    schema = "key long, us long, level double, trend double, surge double, _core boolean"
+    schema, h = "key long, us long, level double, trend double, surge double", np.array([1.0, 0.0, 1.0])
+    p0 = np.diag([0.1, 1e-8, q_surge / (1 - phi * phi)])
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("us", kind="stable")
-        dt = np.diff(part["us"].to_numpy(), prepend=part["us"].iloc[0]) / 3.6e9
+    def system(part: pd.DataFrame, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dt = np.diff(part["us"].to_numpy(), prepend=before) / 3.6e9
         a = phi**dt
         f, q = np.zeros((len(part), 3, 3)), np.zeros((len(part), 3, 3))
         f[:, 0, 0] = f[:, 1, 1] = 1
         f[:, 0, 1], f[:, 2, 2] = dt, a
         q[:, 0, 0], q[:, 1, 1], q[:, 2, 2] = q_level * dt, 1e-14 * dt, q_surge * (1 - a * a) / (1 - phi * phi)
-        y = (part["height"] - part["tide"]).to_numpy(float)
-        first = np.nanmean(y) if np.isfinite(y).any() else 0.0
-        x, _ = kalman(y, f, np.tile([1.0, 0.0, 1.0], (len(part), 1)), q, r, np.array([first, 0, 0]), np.diag([0.1, 1e-8, q_surge / (1 - phi * phi)]))
-        return pd.DataFrame({"key": part["key"], "us": part["us"], "level": x[:, 0], "trend": x[:, 1], "surge": x[:, 2], "_core": part["_core"]})
+        return (part["height"] - part["tide"]).to_numpy(float), f, q
+
+    def result(part: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": part["key"], "us": part["us"], "level": x[:, 0], "trend": x[:, 1], "surge": x[:, 2]})
 
-    cut = ordered_blocks(series, "key", ["us"], F.floor(F.col("us") / (30 * 86_400_000_000)), OVERLAP, SMOOTHED)
-    return cut.groupBy("key", "_blk").applyInPandas(one, schema).where("_core").drop("_core")
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("us", kind="stable")
+        y, f, q = system(part, part["us"].iloc[0])
+        first = np.nanmean(y) if np.isfinite(y).any() else 0.0
+        return result(part, kalman(y, f, np.tile(h, (len(part), 1)), q, r, np.array([first, 0, 0]), p0)[0])
+
+    counts = series.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMOOTHED).select(F.col("key").alias("_hot"))
+    if not counts.limit(1).count():
+        return series.groupBy("key").applyInPandas(whole, schema)
+    same = F.col("key").eqNullSafe(F.col("_hot"))
+    cold = series.join(counts, same, "left_anti").groupBy("key").applyInPandas(whole, schema)
+    # Equal times go by value, so that every pass sees the same blocks; the readings beside a block give the steps into and out of it.
+    order = ["us", "height", "tide"]
+    cut = materialize(ordered_blocks(series.join(counts, same, "left_semi").select("key", *order), "key", order, F.floor(F.col("us") / (30 * 86_400_000_000)), 1, SMOOTHED), "smooth")
+    off = F.col("height") - F.col("tide")
+    means = {x["key"]: x["m"] or 0.0 for x in take_bounded(cut.where("_core").groupBy("key").agg(F.avg(F.when(~F.isnan(off), off)).alias("m")), BLOCKS, "smoothing")}
+
+    def block(part: pd.DataFrame) -> tuple[tuple, pd.DataFrame, int, int | None]:
+        """(key, block), its readings in order, the time before it and the time after it."""
+        part = part.sort_values(order, kind="stable")
+        core = np.flatnonzero(part["_core"].to_numpy())
+        us, low, high = part["us"].to_numpy(), core[0], core[-1]
+        key = part["key"].iloc[0]
+        return (None if pd.isna(key) else int(key), int(part["_blk"].iloc[0])), part.iloc[core], int(us[max(low - 1, 0)]), int(us[high + 1]) if high + 1 < len(us) else None
+
+    def filters(part: pd.DataFrame) -> pd.DataFrame:
+        (key, n), own, before, _ = block(part)
+        y, f, q = system(own, before)
+        return pd.DataFrame({"key": pd.array([key], "Int64"), "blk": [n], "x": [np.concatenate([x.ravel() for x in block_filter(y, f, h, q, r)]).tolist()]})
+
+    def filtered(part: pd.DataFrame, starts: dict) -> tuple[tuple, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's filtered states, and gains and offsets of each smoothed state from the one after it."""
+        at, own, before, after = block(part)
+        y, f, q = system(own, before)
+        x, p = starts[at]
+        xs, ps, n = np.zeros((len(y), 3)), np.zeros((len(y), 3, 3)), len(y)
+        for t in range(n):
+            x, p = f[t] @ x, f[t] @ p @ f[t].T + q[t]
+            if np.isfinite(y[t]):
+                g = p @ h
+                s = float(h @ g + r)
+                x, p = x + g * (y[t] - h @ x) / s, p - np.outer(g, g) / s
+            xs[t], ps[t] = x, p
+        if after is not None:
+            _, f2, q2 = system(own.iloc[-1:].assign(us=after), int(own["us"].iloc[-1]))
+            f, q = np.concatenate([f, f2]), np.concatenate([q, q2])
+        gain, rest = np.zeros((n, 3, 3)), xs.copy()
+        for t in range(len(f) - 1):
+            gain[t] = np.linalg.solve((f[t + 1] @ ps[t] @ f[t + 1].T + q[t + 1]).T, f[t + 1] @ ps[t].T).T
+            rest[t] = xs[t] - gain[t] @ f[t + 1] @ xs[t]
+        return at, own, xs, gain, rest
+
+    parts = lambda run, kind: take_bounded(cut.groupBy("key", "_blk").applyInPandas(run, kind).orderBy("key", "blk"), BLOCKS, "smoothing")
+    starts: dict = {}
+    for row in parts(filters, "key long, blk long, x array<double>"):
+        if row["blk"] == 0:
+            x, p = np.array([means[row["key"]], 0, 0]), p0
+        starts[row["key"], row["blk"]] = x, p
+        v = np.asarray(row["x"])
+        x, p = after_block(x, p, (v[:9].reshape(3, 3), v[9:12], v[12:21].reshape(3, 3), v[21:24], v[24:].reshape(3, 3)))
+
+    def smoothers(part: pd.DataFrame) -> pd.DataFrame:
+        (key, n), _, _, gain, rest = filtered(part, starts)
+        e, g = np.eye(3), np.zeros(3)
+        for t in range(len(gain) - 1, -1, -1):
+            e, g = gain[t] @ e, gain[t] @ g + rest[t]
+        return pd.DataFrame({"key": pd.array([key], "Int64"), "blk": [n], "x": [[*e.ravel().tolist(), *g.tolist()]]})
+
+    ends, last, x = {}, None, np.zeros(3)
+    for row in reversed(parts(smoothers, "key long, blk long, x array<double>")):
+        if last is None or row["key"] != last[0]:
+            x, last = np.zeros(3), (row["key"],)
+        ends[row["key"], row["blk"]] = x
+        x = np.asarray(row["x"][:9]).reshape(3, 3) @ x + np.asarray(row["x"][9:])
+
+    def smoothed(part: pd.DataFrame) -> pd.DataFrame:
+        at, own, xs, gain, rest = filtered(part, starts)
+        x = ends[at]
+        for t in range(len(xs) - 1, -1, -1):
+            xs[t] = x = gain[t] @ x + rest[t]
+        return result(own, xs)
+
+    return cold.unionByName(cut.groupBy("key", "_blk").applyInPandas(smoothed, schema))
 
 
 def ref_fit(spark, d: str) -> DataFrame:

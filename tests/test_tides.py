@@ -170,6 +170,23 @@ def test_smoothing_follows_a_surge(spark):
     assert np.abs(got["level"] + got["surge"] - 0.2 - surge).mean() < 0.03 and got["surge"].iloc[200] > 0.3
 
 
+def test_smoothing_in_blocks_is_exact(spark, monkeypatch):
+    rnd, n = np.random.default_rng(2), 1_030
+    us = T0 + np.cumsum(rnd.integers(1, 40, n)) * 60_000_000
+    us[[500, 700]] = us[[499, 699]]
+    one = pd.DataFrame({"key": 1, "us": us, "height": 1.0 + np.cumsum(rnd.normal(0, 0.02, n)) + rnd.normal(0, 0.02, n), "tide": 0.8})
+    one.loc[one["us"].duplicated(keep=False), "height"] = [0.1, 0.4, 0.5, 0.2]
+    rows = pd.concat([one, one[:90].assign(key=2), one[:310].assign(key=3, height=one["height"] * 2)])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=0))
+    order = ["key", "us", "level"]
+    want = fitting.smooth(df).toPandas().sort_values(order)
+    monkeypatch.setattr(fitting, "SMOOTHED", 100)
+    got = fitting.smooth(df).toPandas().sort_values(order)
+    assert got["us"].tolist() == want["us"].tolist()
+    for c in ("level", "trend", "surge"):
+        assert np.abs(got[c].to_numpy() - want[c].to_numpy()).max() < 1e-7, c
+
+
 def test_kriging_and_distances(spark):
     stations = np.array([(-1.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, -1.0)])
     values = 1 + 0.05 * stations[:, 1]
