@@ -119,10 +119,20 @@ def off_level(t: np.ndarray, h: np.ndarray, seg: np.ndarray, sigma: np.ndarray,
     rise = ha - hb
     apart = np.min([np.abs(rise - q * span) for q in (before, after, (before + after) / 2, 0 * span)], axis=0)
     # Each side must itself lie level, where it has a second reading: neighbouring spikes and edges of shifts are no level.
+    # A second reading across a gap says nothing of that, nor one that is off its own level and off the running median as far.
+    start = ok & (apart < AGREE * least)
+    if not start.any():
+        return start
+    far, doubtful = np.abs(phase_space(h, seg)[0]), np.zeros(n, bool)
+    for k in range(width):
+        i = np.flatnonzero(start) + k
+        doubtful[i] |= far[i] > AGREE * least[i - k]
+    (doubt_b, _), (doubt_a, _) = _seq(doubtful, seg, -2), _seq(doubtful, seg, width + 1)
+    use_b, use_a = okb2 & (tb - tb2 <= limit) & ~doubt_b, oka2 & (ta2 - ta <= limit) & ~doubt_a
     slope = np.clip(rise / span, -steep, steep)
-    calm_b = okb2 & (np.abs(hb - hb2 - slope * (tb - tb2)) < AGREE * least)
-    calm_a = oka2 & (np.abs(ha2 - ha - slope * (ta2 - ta)) < AGREE * least)
-    start = ok & (apart < AGREE * least) & (calm_b | ~okb2) & (calm_a | ~oka2)
+    calm_b = np.abs(hb - hb2 - slope * (tb - tb2)) < AGREE * least
+    calm_a = np.abs(ha2 - ha - slope * (ta2 - ta)) < AGREE * least
+    start &= (calm_b | ~use_b) & (calm_a | ~use_a)
     hit = np.zeros(n, bool)
     for k in range(width):
         hit[np.flatnonzero(start) + k] = True

@@ -337,3 +337,23 @@ def test_odd_rates(spark):
     df = spark.createDataFrame(data, "i long, kind string, v double")
     assert rows(spikes.odd_rates(df, "v", "kind", "i")) == [(1000,), (1002,), (1005,)]
     assert spikes.odd_rates(df.limit(0), "v", "kind", "i").count() == 0
+
+
+def test_spikes_parted_by_one_reading_and_beside_a_gap():
+    def found(h, t):
+        n = len(h)
+        return np.flatnonzero(spikes.find_spikes(np.asarray(t, float), h, np.zeros(n, int), np.full(n, 0.02), np.full((3, n), 0.2), np.full(n, 1e-4))).tolist()
+
+    level, t = np.random.default_rng(0).normal(0, 0.01, 60), np.arange(60) * 600.0
+    for spots in ([30, 32], [30, 32, 34, 36]):
+        h = level.copy()
+        h[spots] += 5.0
+        assert found(h, t) == spots
+    h = level.copy()
+    h[30:] += 5.0
+    assert found(h, t) == []  # a shift
+    late, h = t.copy(), level.copy()
+    late[32:] += 86_400.0
+    h[32:] += 2.0
+    h[30] += 2.0
+    assert found(h, late) == [30]
