@@ -320,14 +320,44 @@ def test_spikes_runs_and_bounds(spark, block):
     assert spikes.implausible(df.limit(0), "upload", "t", "h", "station", "oid").count() == 0
 
 
-def test_ellipsoids_lose_nothing_the_exact_check_would_find():
-    data, _ = make_obs(4, 4, 400)
-    t = np.array([r[3].timestamp() for r in data])
-    h, seg = np.array([r[4] for r in data]), np.array([r[1] for r in data])
-    sigma, steep = np.full(len(h), 0.015), np.full(len(h), 3e-4)
-    wide = np.tile(np.array([[0.02], [0.012], [0.03]]) * math.sqrt(2 * math.log(len(h))), len(h))
-    all_ = spikes.find_spikes(t, h, seg, sigma, np.full((3, len(h)), 1e-9), steep)
-    assert (spikes.find_spikes(t, h, seg, sigma, wide, steep) == all_).all() and all_.any()
+def search(t, h, seg=None, sigma=0.02):
+    n = len(h)
+    return np.flatnonzero(spikes.find_spikes(np.asarray(t, float), np.asarray(h, float), np.zeros(n, int) if seg is None else seg, np.full(n, sigma), np.full((3, n), 0.02))).tolist()
+
+
+def coarse_series(seed, n=4000):
+    """Half-hourly readings of a large tide at irregular times, with shifts and spikes."""
+    rnd = np.random.default_rng(seed)
+    t = np.cumsum(rnd.uniform(900, 2700, n))
+    h = 2 * np.cos(2 * np.pi * t / 44_714) + 0.5 * np.cos(2 * np.pi * t / 86_164) + rnd.normal(0, 0.01, n)
+    for k in range(60, n, 200):
+        h[k:] += rnd.choice([-0.3, 0.3])
+    spots = np.arange(150, n, 200)
+    h[spots] += rnd.choice([-1, 1], len(spots)) * rnd.uniform(1, 3, len(spots))
+    return t, h, spots.tolist()
+
+
+def test_ellipsoids_decide(monkeypatch):
+    t, h, spots = coarse_series(4)
+    got = search(t, h, sigma=0.01)
+    assert len(set(got) & set(spots)) >= 0.9 * len(spots) and len(set(got) - set(spots)) <= 0.2 * len(spots)
+    monkeypatch.setattr(spikes.Ellipsoids, "outside", lambda self, points: np.ones(points.shape[1], bool))
+    free = search(t, h, sigma=0.01)
+    assert set(free) != set(got) and len(set(free) - set(spots)) > len(set(got) - set(spots))
+    monkeypatch.setattr(spikes.Ellipsoids, "outside", lambda self, points: np.zeros(points.shape[1], bool))
+    assert search(t, h, sigma=0.01) == []
+
+
+def test_ellipsoids_turn_with_the_correlation_and_hold_the_universal_share():
+    rnd = np.random.default_rng(0)
+    n = 5000
+    u = rnd.normal(0, 1, n)
+    points = np.stack([u, rnd.normal(0, 2, n), -1.5 * u + rnd.normal(0, 0.5, n)])
+    shape = spikes.Ellipsoids(points, np.zeros(n, int), np.ones((3, n)))
+    assert shape.scale[:, 0] == pytest.approx([1, 2, math.sqrt(2.5)], rel=0.1) and shape.rho[0] == pytest.approx(-1.5 / math.sqrt(2.5), abs=0.05)
+    assert shape.outside(points).sum() <= 5
+    against = np.array([[2.5], [0.0], [3.5]]).repeat(n, axis=1)  # inside both axes, against the correlation
+    assert shape.outside(against).all()
 
 
 def test_odd_rates(spark):
@@ -339,21 +369,30 @@ def test_odd_rates(spark):
     assert spikes.odd_rates(df.limit(0), "v", "kind", "i").count() == 0
 
 
-def test_spikes_parted_by_one_reading_and_beside_a_gap():
-    def found(h, t):
-        n = len(h)
-        return np.flatnonzero(spikes.find_spikes(np.asarray(t, float), h, np.zeros(n, int), np.full(n, 0.02), np.full((3, n), 0.2), np.full(n, 1e-4))).tolist()
-
-    level, t = np.random.default_rng(0).normal(0, 0.01, 60), np.arange(60) * 600.0
-    for spots in ([30, 32], [30, 32, 34, 36]):
+@pytest.mark.parametrize("tidal", [0.0, 1.2])
+def test_close_spikes_chains_shifts_and_gaps(tidal):
+    t = np.arange(120) * 600.0
+    level = tidal * np.cos(2 * np.pi * t / 44_714) + np.random.default_rng(0).normal(0, 0.01, 120)
+    chain = lambda n: ([30 + 2 * k for k in range(n)], [0.3 * 2.5**k for k in range(n)])
+    for spots, sizes in (([30, 32], [3, 3]), ([30, 32], [3, -3]), ([30, 32, 34, 36], [5] * 4), ([30, 31, 33], [2, 2, 2]), chain(5), chain(6), chain(9)):
         h = level.copy()
-        h[spots] += 5.0
-        assert found(h, t) == spots
+        h[spots] += sizes
+        assert search(t, h, sigma=0.01) == spots
     h = level.copy()
     h[30:] += 5.0
-    assert found(h, t) == []  # a shift
+    assert search(t, h, sigma=0.01) == []  # a shift
     late, h = t.copy(), level.copy()
     late[32:] += 86_400.0
     h[32:] += 2.0
     h[30] += 2.0
-    assert found(h, late) == [30]
+    assert search(late, h, sigma=0.01) == [30]
+    stuck = level.copy()
+    stuck[40:52] = stuck[40]
+    stuck[46:] += 0.0
+    assert not set(search(t, stuck, sigma=0.01)) & set(range(40, 52))
+
+
+def test_small_series_have_no_spikes():
+    for n in range(4):
+        assert search(np.arange(n) * 600.0, np.array([0.0, 9.0, 0.0])[:n]) == ([1] if n == 3 else [])
+    assert search([0, 0, 0, 600], [0, 5, 9, 0]) is not None  # equal times
