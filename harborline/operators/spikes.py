@@ -279,7 +279,8 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scales(laid: DataFrame) -> DataFrame:
     """(source, s0..s3): scatter and the three robust scales of the phase space."""
-    part = laid.mapInArrow(_histograms, "source string, what int, bin int, n long").groupBy("source", "what", "bin").agg(F.sum("n").alias("n"))
+    # In another order, so that constant columns are added above the shuffle here as in the second pass, and it is the same.
+    part = laid.select(*reversed(laid.columns)).mapInArrow(_histograms, "source string, what int, bin int, n long").groupBy("source", "what", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("source", "what").orderBy("bin")
     ranked = part.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy("source", "what"))})
     # The median's bin, entered in proportion; a median in the lowest bin stands for resolution coarser than the noise.
