@@ -15,6 +15,7 @@ BROADCAST_ROWS = 50_000
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,17 +45,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. A local master without one (tests) gets a temporary folder; a cluster must name one,
+    since what executors write to their own disks is lost to the others."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='harborline-')}"
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
 
 
+def written_dir(spark: SparkSession) -> str:
+    """This application's folder of written tables in the shared folder; it is removed when the driver's JVM ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/harborline/{sc.applicationId}"
+    if path not in _WRITTEN:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _WRITTEN.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this application's written tables now; results that still read them can't be used any more."""
+    sc, path = spark.sparkContext, written_dir(spark)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, runs the plan once."""
-    path = f"{shared_dir(df.sparkSession)}/harborline/{label}-{uuid.uuid4().hex}"
+    path = f"{written_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -45,7 +45,8 @@ def ar1_forecast(last: Column, phi: Column, sigma_eps: Column, steps: int) -> Co
 
 
 def attribution(obs: DataFrame, names: list[str] = CANDIDATES, min_obs: int = 48) -> DataFrame:
-    """obs(station, us, height) -> (station, name, variance, share): how much each constituent adds to the curve's variance.
+    """obs(station, us, height) -> (station, name, variance, share): how much the uncertainty of each constituent adds to that of the
+    curve, averaged over the readings.
 
     The mean over the readings of the 2 x 2 blocks' quadratic forms is taken from the sums of products of the fit itself.
     """
@@ -169,7 +170,7 @@ def ref_ar1_forecast(spark, d: str) -> DataFrame:
 
 
 def ref_attribution(spark, d: str) -> DataFrame:
-    """Share of each fitted constituent in the curve's variance at each station."""
+    """Share of each fitted constituent in the uncertainty of each station's curve."""
     return attribution(_obs(spark, d).where(F.abs("height") < 25)).select("station", "name", F.round("share", 4).alias("share"))
 
 

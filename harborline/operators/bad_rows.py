@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.common import iso_instant, table, take_bounded
+from harborline.common import iso_instant, table
 
 #: Any field. Possessive, so that neither engine backtracks.
 ANY = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+#: Names of a register that are written into the pattern; a longer register is joined instead.
+NAMES = 20_000
 #: The JVM's engine recurses once for each doubled quote; records with more go to the second step unseen.
 DOUBLED = 500
 
@@ -114,20 +116,41 @@ class Diagnosis:
         return None
 
 
-def faulty_rows(df: DataFrame, line: str, rid: str, schema: list[Field]) -> DataFrame:
+def faulty_rows(df: DataFrame, line: str, rid: str, schema: list[Field], register: tuple[str, DataFrame] | None = None) -> DataFrame:
     """(id, reason, line) of every faulty record, with the first reason that applies.
 
     A null record has no fields ('width'), an empty one has one empty field. Repeated records are judged each on their own.
+    register: (field, table of one column): the field, which has no pattern of its own, must hold one of these values; they are
+    joined, so there may be any number of them.
     """
-    bad = df.where(~is_valid(line, schema)).select(F.col(rid).alias("id"), F.col(line).alias("line"))
+    names = [f.name for f in schema]
+    joined = register is not None
+    at = names.index(register[0]) if joined else 0
+    rows = df.select(F.col(rid).alias("id"), F.col(line).alias("line"))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, reason string, line string, value string"
 
     def diagnose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Diagnosis(schema)
+        first, one = Diagnosis(schema), re.compile(f"({ANY})(?:,|\\Z)")
         for b in batches:
-            why = pa.array([first.reason(x) for x in b.column("line").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("id"), why, b.column("line")], ["id", "reason", "line"])
+            lines = b.column("line").to_pylist()
+            why = [first.reason(x) for x in lines]
+            value = [None if not joined or w in ("quote", "width") else _plain(one.findall(x)[at]) for x, w in zip(lines, why, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(why, pa.string()), b.column("line"), pa.array(value, pa.string())], ["id", "reason", "line", "value"])
+
+    judged = rows.where(~is_valid("line", schema)).mapInArrow(diagnose, kind)
+    if not joined:
+        return judged.where(F.col("reason").isNotNull()).drop("value")
+    # Records valid but for the register stay in the JVM; a reason of an earlier field comes before the register's.
+    judged = judged.unionByName(df.where(is_valid(line, schema)).select(F.col(rid).alias("id"), F.lit(None).cast("string").alias("reason"), F.col(line).alias("line"), _field(schema, at, line).alias("value")))
+    known = register[1].select(F.col(register[1].columns[0]).alias("_known")).where("_known IS NOT NULL").distinct()
+    early = F.coalesce(F.col("reason").isin(["quote", "width", *names[:at]]), F.lit(False))
+    reason = F.when(early, F.col("reason")).when(F.col("_known").isNull(), F.lit(register[0])).otherwise(F.col("reason"))
+    return judged.join(known, F.col("value") == F.col("_known"), "left").select("id", reason.alias("reason"), "line").where(F.col("reason").isNotNull())
+
 
-    return bad.mapInArrow(diagnose, f"id {bad.schema['id'].dataType.simpleString()}, reason string, line string").where(F.col("reason").isNotNull())
+def _plain(text: str) -> str:
+    """A field's text without its quotes, or without the blanks around it."""
+    return text[1:-1].replace('""', '"') if text[:1] == '"' else text.strip(" ")
 
 
 def _field(schema: list[Field], k: int, line: str) -> F.Column:
@@ -137,10 +160,10 @@ def _field(schema: list[Field], k: int, line: str) -> F.Column:
     return F.when(text.startswith('"'), F.replace(F.substring(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(text))
 
 
-def valid_rows(df: DataFrame, line: str, keep: list[str], schema: list[Field]) -> DataFrame:
+def valid_rows(df: DataFrame, line: str, keep: list[str], schema: list[Field], register: tuple[str, DataFrame] | None = None) -> DataFrame:
     """The valid records, split into text fields named as in the schema, beside the columns in `keep`.
 
-    Records with more than DOUBLED doubled quotes are judged and split in the second step.
+    Records with more than DOUBLED doubled quotes are judged and split in the second step. register: as in faulty_rows().
     """
     fast = df.where(is_valid(line, schema)).select(*keep, *(_field(schema, k, line).alias(f.name) for k, f in enumerate(schema)))
     rest = df.where(_heavy(line)).select(*keep, line)
@@ -150,30 +173,35 @@ def valid_rows(df: DataFrame, line: str, keep: list[str], schema: list[Field]) -
         first, one = Diagnosis(schema), re.compile(f"({ANY})(?:,|\\Z)")
         for b in batches:
             good = [k for k, x in enumerate(b.column(line).to_pylist()) if x is not None and first.reason(x) is None]
-            cut = [[v[1:-1].replace('""', '"') if v[:1] == '"' else v.strip(" ") for v in one.findall(b.column(line)[k].as_py())[: len(names)]] for k in good]
+            cut = [[_plain(v) for v in one.findall(b.column(line)[k].as_py())[: len(names)]] for k in good]
             kept = [b.column(c).take(pa.array(good, pa.int64())) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x[k] for x in cut], pa.string()) for k in range(len(names)))], [*keep, *names])
 
-    return fast.unionByName(rest.mapInArrow(split, fast.schema))
+    out = fast.unionByName(rest.mapInArrow(split, fast.schema))
+    return out if register is None else out.join(register[1].select(F.col(register[1].columns[0]).alias(register[0])).distinct(), register[0], "left_semi")
 
 
-def gauge_schema(stations: list[str]) -> list[Field]:
-    return [Field("station", alternation(stations)), Field("time", TIME), Field("height", NUMBER, -20.0, 20.0), Field("source"), Field("note")]
+def gauge_schema(stations: list[str] | None) -> list[Field]:
+    """The schema of gauge records; without a list of stations any text is one (a register decides)."""
+    return [Field("station", None if stations is None else alternation(stations)), Field("time", TIME), Field("height", NUMBER, -20.0, 20.0), Field("source"), Field("note")]
 
 
-def _schema(spark, d: str) -> list[Field]:
-    names = table(spark, d, "gauges").where(F.col("station").isNotNull()).select("station").distinct()
-    return gauge_schema([r[0] for r in take_bounded(names, 20_000, "the register of stations")])
+def gauge_rules(register: DataFrame, names: int = NAMES) -> tuple[list[Field], tuple[str, DataFrame] | None]:
+    """The schema for a register (one column) of stations, and the register itself if it is too long for a pattern."""
+    some = [r[0] for r in register.where(F.col(register.columns[0]).isNotNull()).distinct().limit(names + 1).collect()]
+    return (gauge_schema(some), None) if len(some) <= names else (gauge_schema(None), ("station", register))
 
 
 def p5_found(spark, d: str) -> DataFrame:
     """Every faulty record of gauge_lines with its reason."""
-    return faulty_rows(table(spark, d, "gauge_lines"), "line", "row_id", _schema(spark, d)).select(F.col("id").alias("row_id"), "reason")
+    rules = gauge_rules(table(spark, d, "gauges").select("station"))
+    return faulty_rows(table(spark, d, "gauge_lines"), "line", "row_id", *rules).select(F.col("id").alias("row_id"), "reason")
 
 
 def p5_loaded(spark, d: str) -> DataFrame:
     """The valid records of gauge_lines as typed rows; times without a zone are UTC."""
-    rows = valid_rows(table(spark, d, "gauge_lines"), "line", ["row_id"], _schema(spark, d))
+    rules = gauge_rules(table(spark, d, "gauges").select("station"))
+    rows = valid_rows(table(spark, d, "gauge_lines"), "line", ["row_id"], *rules)
     none = lambda c: F.when(F.col(c) != "", F.col(c))
     return rows.select("row_id", "station", iso_instant("time").alias("utc_us"), none("height").cast("double").alias("height"), none("source").alias("source"), none("note").alias("note"))
 

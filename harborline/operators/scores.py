@@ -102,7 +102,7 @@ def ref_brier(spark, d: str) -> DataFrame:
 
 
 def ref_report_counts(spark, d: str) -> DataFrame:
-    """Reports by sensor and reason, with subtotals: reports, rejected, mean share flagged."""
+    """Reports by sensor and reason: reports, rejected, share of readings flagged. A report with several reasons counts for each."""
     got = table(spark, d, "qc_reports").select("sensor", "rejected", "n_flagged", "n_total", F.explode_outer("reasons").alias("reason"))
     return got.groupBy(F.coalesce("sensor", F.lit("unknown")).alias("sensor"), F.coalesce("reason", F.lit("none")).alias("reason")).agg(
         F.count(F.lit(1)).alias("reports"), F.count(F.when(F.col("rejected"), 1)).alias("rejected"), F.round(F.sum("n_flagged") / F.sum("n_total"), 6).alias("flagged_share")

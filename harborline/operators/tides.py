@@ -127,9 +127,10 @@ def ref_station_ranges(spark, d: str) -> DataFrame:
 
 
 def ref_regions(spark, d: str) -> DataFrame:
-    """Stations with constants by region, with the total."""
+    """Stations with constants by region, null being 'unknown', with the total as 'all'."""
     g = table(spark, d, "gauges").where("size(constituents) > 0")
-    return g.rollup("region_name").agg(F.count(F.lit(1)).alias("stations"), F.countDistinct("tz").alias("zones")).select(F.coalesce("region_name", F.lit("all")).alias("region"), "stations", "zones")
+    got = g.rollup("region_name").agg(F.grouping("region_name").alias("all"), F.count(F.lit(1)).alias("stations"), F.countDistinct("tz").alias("zones"))
+    return got.select(F.when(F.col("all") == 1, "all").otherwise(F.coalesce("region_name", F.lit("unknown"))).alias("region"), "stations", "zones")
 
 
 def ref_station_constants(spark, d: str) -> DataFrame:
@@ -168,6 +169,6 @@ SQL = {
     "ref_station_ranges": f"""WITH p AS (SELECT station, region_name, round(max(tide) - min(tide), 3) AS range_m FROM {predict_sql(_HOURS.format(first='2024-01-01', n=720))} GROUP BY ALL),
 c AS (SELECT station, unnest(constituents, recursive := true) FROM gauges), k AS (SELECT station, name AS dominant, count(*) OVER (PARTITION BY station) AS constituents, row_number() OVER (PARTITION BY station ORDER BY amplitude DESC) AS rn FROM c)
 SELECT region_name, station, range_m, dominant, CAST(constituents AS INT) AS constituents FROM p JOIN k USING (station) WHERE rn = 1""",
-    "ref_regions": "SELECT coalesce(region_name, 'all') AS region, count(*) AS stations, count(DISTINCT tz) AS zones FROM gauges WHERE len(constituents) > 0 GROUP BY ROLLUP (region_name)",
+    "ref_regions": "SELECT CASE WHEN grouping(region_name) = 1 THEN 'all' ELSE coalesce(region_name, 'unknown') END AS region, count(*) AS stations, count(DISTINCT tz) AS zones FROM gauges WHERE len(constituents) > 0 GROUP BY ROLLUP (region_name)",
     "ref_station_constants": "SELECT station, name, amplitude, phase, round(amplitude * cos(radians(phase)), 6) AS a, round(amplitude * sin(radians(phase)), 6) AS b FROM (SELECT station, unnest(constituents, recursive := true) FROM gauges)",
 }

@@ -237,6 +237,13 @@ def test_bad_rows_on_spark_agree_and_valid_rows_load(spark):
     long = next(k for k in valid if '""' * 5000 in records[k])
     assert '"' * 5000 in tuple(valid[long])
     assert bad_rows.faulty_rows(df.limit(0), "line", "row_id", SCHEMA).count() == 0
+    # A register too long for a pattern is joined, with the same result.
+    register = spark.createDataFrame([("aa-1",), ("aa-10",), ("b.2",), ("b.2",), (None,)], "station string")
+    rules = bad_rows.gauge_rules(register, names=2)
+    assert rules[1] is not None and bad_rows.gauge_rules(register)[1] is None
+    joined = bad_rows.faulty_rows(df, "line", "row_id", *rules).collect()
+    assert {r.id: r.reason for r in joined} == got and len(joined) == len(got)
+    assert rows(bad_rows.valid_rows(df, "line", ["row_id"], *rules).select("row_id", "station", "note")) == rows(bad_rows.valid_rows(df, "line", ["row_id"], SCHEMA).select("row_id", "station", "note"))
 
 
 # -- points near points and regions ------------------------------------------------------
