@@ -1,18 +1,19 @@
 """Points near other points or regions (problem 2).
 
 Positions become unit vectors, so no convention or seam of the longitudes matters. A bounded sample of both sides is cut into
-k-d cells; each point goes to its cell, each reference to every cell its ball touches (halo copies); cells that hold many
-points are salted, their references copied to each salt. In a cell a local k-d tree answers by chord radius, and the
-great-circle distance decides. Regions are cut by k-d splits of the lon/lat plane and swept: edges in order of longitude,
-points between two successive edge ends counted against the edges active there.
+k-d cells; each point goes to its cell, each reference to every cell its ball touches (halo copies). A cell with many points
+is salted, its references copied to each salt; one with many references is parted, its points copied to each part. A task
+builds a local k-d tree of its references and streams its points past it by chord radius; the great-circle distance decides.
+Regions are cut by k-d splits of the lon/lat plane: an edge descends only to the cells it touches, and what lies above a cell
+is drawn together to one edge a stretch, which counts as often. In a cell the edges are swept in order of longitude: points
+between two successive edge ends are counted against the edges active there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ from harborline.common import table
 EARTH_KM = 6371.0088
 #: Rows of each side that the cells are fitted on; every row is then placed.
 SAMPLE = 20_000
-#: Points that one task's cell or salt should hold.
+#: Points, and references, that one task should hold.
 CELL_ROWS = 50_000
+#: Pairs, or points times edges, worked on at once.
+CHUNK = 2_000_000
 LEAF = 32
 
 
@@ -141,8 +144,8 @@ def _sample(df: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return got[["lon", "lat"]].to_numpy(float), total
 
 
-def _spread(points: DataFrame, splits: Splits, flat: bool, salts: np.ndarray) -> DataFrame:
-    """points(pid, lon, lat) with their cell and salt."""
+def _spread(points: DataFrame, splits: Splits, flat: bool, salts: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """points(pid, lon, lat) with their cell and salt, once for each part of the cell's references."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,10 +154,47 @@ def _spread(points: DataFrame, splits: Splits, flat: bool, salts: np.ndarray) ->
             cells = np.empty(len(lon), int)
             cells[at] = cell
             salt = np.arange(len(lon)) % salts[cells]
-            yield pa.RecordBatch.from_arrays([b.column("pid"), b.column("lon"), b.column("lat"), pa.array(cells), pa.array(salt)], ["pid", "lon", "lat", "cell", "salt"])
+            row, part = _copies(parts[cells])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("pid", "lon", "lat")), pa.array(cells[row]), pa.array(salt[row]), pa.array(part)], ["pid", "lon", "lat", *TASK])
 
     kind = points.schema["pid"].dataType.simpleString()
-    return points.select("pid", "lon", "lat").mapInArrow(run, f"pid {kind}, lon double, lat double, cell long, salt long")
+    return points.select("pid", "lon", "lat").mapInArrow(run, f"pid {kind}, lon double, lat double, cell long, salt long, part long")
+
+
+TASK = ("cell", "salt", "part")
+
+
+def _copies(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row so many times, and the number of each copy."""
+    return np.repeat(np.arange(len(times)), times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _meet(points: DataFrame, refs: DataFrame, build: Callable, search: Callable, schema: str) -> DataFrame:
+    """What `search` finds of the points (pid, lon, lat and TASK) in what `build` makes of the same task's references.
+
+    A task's references come first and are held; its points are streamed, so neither they nor the pairs are gathered.
+    """
+    here, there = ({f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (refs, points))
+    lack = lambda have, of: [F.lit(None).cast(t).alias(c) for c, t in of.items() if c not in have]
+    both = refs.select("*", *lack(here, there), F.lit(0).alias("side")).unionByName(points.select("*", *lack(there, here), F.lit(1).alias("side")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, found = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in (*TASK, "side")])
+            starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, b.num_rows]
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if task != (now := tuple(keys[:3, low].tolist())):
+                    task, held, found = now, [], None
+                if keys[3, low] == 0:
+                    held.append(b.slice(low, high - low))
+                elif held:
+                    found = build(pa.Table.from_batches(held)) if found is None else found
+                    yield from search(found, b.slice(low, high - low))
+
+    return both.repartition(*TASK).sortWithinPartitions(*TASK, "side").mapInArrow(run, schema)
 
 
 def _west(lon: np.ndarray) -> np.ndarray:
@@ -162,8 +202,8 @@ def _west(lon: np.ndarray) -> np.ndarray:
     return (lon + 180.0) % 360.0 - 180.0
 
 
-def _salts(splits: Splits, rows: int, cell_rows: int) -> np.ndarray:
-    return np.maximum(1, np.ceil(np.array(splits.share) * rows / cell_rows)).astype(int)
+def _shares(share: np.ndarray, rows: float, cell_rows: int) -> np.ndarray:
+    return np.maximum(1, np.ceil(share * rows / cell_rows)).astype(int)
 
 
 def near_points(points: DataFrame, refs: DataFrame, radius_km: float, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -185,33 +225,41 @@ def _near_places(points: DataFrame, refs: DataFrame, radius_km: float, sample: i
     """near_points() of clean rows, references at distinct positions."""
     chord = 2 * np.sin(min(radius_km / (2 * EARTH_KM), np.pi / 2)) * (1 + 1e-9) + 1e-12
     (ps, n), (rs, m) = _sample(points, sample), _sample(refs, sample)
-    spots = np.concatenate([ps, rs])
-    splits = Splits(unit(spots[:, 0], spots[:, 1]), min(4096, -(-(n + m) // cell_rows)))
-    salts = _salts(splits, n + m, cell_rows)
+    splits = Splits(unit(*np.concatenate([ps, rs]).T), min(4096, -(-(n + m) // cell_rows)))
+    share = lambda cells, of: np.bincount(cells, minlength=splits.cells) / max(of, 1)
+    salts = _shares(share(splits.place(unit(*ps.T))[1], len(ps)), n, cell_rows)
+    parts = _shares(share(splits.place(unit(*rs.T), chord)[1], len(rs)), m, cell_rows)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lon, lat = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
             at, cell = splits.place(unit(lon, lat), chord)
-            times = salts[cell]
-            at, cell = np.repeat(at, times), np.repeat(cell, times)
-            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(take), b.column("lon").take(take), b.column("lat").take(take), pa.array(cell), pa.array(salt)], ["rid", "lon", "lat", "cell", "salt"])
+            part = at % parts[cell]
+            row, salt = _copies(salts[cell])
+            take = pa.array(at[row])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("rid", "lon", "lat")), pa.array(cell[row]), pa.array(salt), pa.array(part[row])], ["rid", "lon", "lat", *TASK])
 
     pk, rk = points.schema["pid"].dataType.simpleString(), refs.schema["rid"].dataType.simpleString()
-    halo = refs.mapInArrow(copies, f"rid {rk}, lon double, lat double, cell long, salt long")
+    halo = refs.mapInArrow(copies, f"rid {rk}, lon double, lat double, cell long, salt long, part long")
+
+    def build(t: pa.Table) -> tuple:
+        lon, lat = t["lon"].to_numpy(), t["lat"].to_numpy()
+        return Tree(unit(lon, lat)), lon, lat, t["rid"].combine_chunks()
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"pid": left["pid"][:0], "rid": right["rid"][:0], "km": np.zeros(0)})
-        q, r = Tree(unit(right["lon"].to_numpy(), right["lat"].to_numpy())).within(unit(left["lon"].to_numpy(), left["lat"].to_numpy()), chord)
-        a, b = left.iloc[q], right.iloc[r]
-        km = great_circle_km(a["lon"].to_numpy(), a["lat"].to_numpy(), b["lon"].to_numpy(), b["lat"].to_numpy())
-        ok = km <= radius_km
-        return pd.DataFrame({"pid": a["pid"].to_numpy()[ok], "rid": b["rid"].to_numpy()[ok], "km": km[ok]})
+    def search(found: tuple, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tree, rlon, rlat, rid = found
+        lon, lat, pid = b.column("lon").to_numpy(), b.column("lat").to_numpy(), b.column("pid")
+        low, size = 0, 256
+        while low < len(lon):
+            x, y = lon[low : low + size], lat[low : low + size]
+            q, r = tree.within(unit(x, y), chord)
+            km = great_circle_km(x[q], y[q], rlon[r], rlat[r])
+            ok = km <= radius_km
+            yield pa.RecordBatch.from_arrays([pid.take(pa.array(low + q[ok])), rid.take(pa.array(r[ok])), pa.array(km[ok])], ["pid", "rid", "km"])
+            low += size
+            size = int(np.clip(CHUNK * len(x) / max(len(q), 1), 1, 8192))  # so that the next pairs stay few
 
-    return _spread(points, splits, False, salts).groupBy("cell", "salt").cogroup(halo.groupBy("cell", "salt")).applyInPandas(meet, f"pid {pk}, rid {rk}, km double")
+    return _meet(_spread(points, splits, False, salts, parts), halo, build, search, f"pid {pk}, rid {rk}, km double")
 
 
 def sweep(lon: np.ndarray, lat: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,35 +272,65 @@ def sweep(lon: np.ndarray, lat: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2:
     starts = np.searchsorted(x1[entering], stops, "right")
     active, upto = np.zeros(0, int), 0
     out_p, out_o = [np.zeros(0, int)], [np.zeros(0, int)]
-    for k in range(len(stops) - 1):
-        active = active[x2[active] > stops[k]]
+    for k in np.flatnonzero(first[1:] > first[:-1]).tolist():  # only where there are points
         active = np.concatenate([active, entering[upto : starts[k]]])
-        upto = starts[k]
-        a, b = first[k], first[k + 1]
-        if a == b or not len(active):
+        active, upto = active[x2[active] > stops[k]], starts[k]
+        if not len(active):
             continue
         edges = active[np.argsort(owner[active], kind="stable")]
         who, begin = np.unique(owner[edges], return_index=True)
-        for low in range(a, b, 8192):
-            at = order[low : min(b, low + 8192)]
+        rows = max(1, CHUNK // len(edges))
+        for low in range(first[k], first[k + 1], rows):
+            at = order[low : min(first[k + 1], low + rows)]
             w = (lon[at][:, None] - x1[edges]) / (x2[edges] - x1[edges])
-            above = (y1[edges] + w * (y2[edges] - y1[edges]) > lat[at][:, None]).astype(np.int8)
-            p, o = np.nonzero(np.add.reduceat(above, begin, axis=1) % 2)
+            above = y1[edges] + w * (y2[edges] - y1[edges]) > lat[at][:, None]
+            p, o = np.nonzero(np.logical_xor.reduceat(above, begin, axis=1))
             out_p.append(at[p])
             out_o.append(who[o])
     return np.concatenate(out_p), np.concatenate(out_o)
 
 
-def ring_edges(ring: list) -> np.ndarray:
-    """(n, 4) edges x1, y1, x2, y2 with x1 < x2 of a ring of (lon, lat), closed or not; vertical edges bound no x."""
-    xy = np.array([(p["lon"], p["lat"]) for p in ring if p is not None and p["lon"] is not None and p["lat"] is not None], float).reshape(-1, 2)
+def ring_edges(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """(n, 4) edges xa, ya, xb, yb of a ring along its way, closed or not; vertices that are no numbers are left out."""
+    xy = np.stack([lon, lat], axis=1).astype(float)
     xy = xy[np.isfinite(xy).all(axis=1)]
-    if len(xy) < 3:
-        return np.zeros((0, 4))
-    a, b = xy, np.roll(xy, -1, axis=0)
-    swap = a[:, 0] > b[:, 0]
-    e = np.where(swap[:, None], np.concatenate([b, a], axis=1), np.concatenate([a, b], axis=1))
-    return e[e[:, 0] < e[:, 2]]
+    return np.concatenate([xy, np.roll(xy, -1, axis=0)], axis=1) if len(xy) >= 3 else np.zeros((0, 4))
+
+
+#: Where edges above a cell are drawn: higher than any latitude.
+ABOVE = 1_000.0
+
+
+def lower(e: np.ndarray, cut: float) -> np.ndarray:
+    """The edges as points below `cut` see them: stretches of successive edges above become one, which each longitude crosses
+    as often (odd or even), and stretches that come back to their longitude vanish."""
+    high = np.minimum(e[:, 1], e[:, 3]) >= cut
+    if not high.any():
+        return e
+    joins = np.r_[False, high[1:] & high[:-1] & (e[1:, 0] == e[:-1, 2])]
+    begin = np.flatnonzero(~joins)
+    end = np.r_[begin[1:], len(e)] - 1
+    out = np.stack([e[begin, 0], np.where(high[begin], ABOVE, e[begin, 1]), e[end, 2], np.where(high[begin], ABOVE, e[end, 3])], axis=1)
+    return out[out[:, 0] != out[:, 2]]
+
+
+def descend(splits: Splits, e: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, edges) of each cell of lon/lat splits that a ring's edges matter in, clipped on the way down."""
+    todo = [(splits.root, e[e[:, 0] != e[:, 2]])]
+    while todo:
+        node, e = todo.pop()
+        if not len(e):
+            continue
+        if node < 0:
+            yield -node - 1, np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e)
+            continue
+        axis, cut, (left, right) = splits.axis[node], splits.cut[node], splits.child[node]
+        if axis == 0:
+            todo.append((left, e[np.minimum(e[:, 0], e[:, 2]) < cut]))
+            todo.append((right, e[np.maximum(e[:, 0], e[:, 2]) > cut]))
+        else:
+            todo.append((left, lower(e, cut)))
+            todo.append((right, e[np.maximum(e[:, 1], e[:, 3]) >= cut]))
 
 
 def in_regions(points: DataFrame, regions: DataFrame, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -264,43 +342,48 @@ def in_regions(points: DataFrame, regions: DataFrame, sample: int = SAMPLE, cell
     points = points.where(on_globe("lon", "lat") & F.col("pid").isNotNull()).select("pid", F.col("lon").cast("double"), F.col("lat").cast("double"))
     ps, n = _sample(points, sample)
     splits = Splits(np.stack([_west(ps[:, 0]), ps[:, 1]], axis=1) if len(ps) else np.zeros((0, 2)), min(4096, -(-n // cell_rows)))
-    salts = _salts(splits, n, cell_rows)
+    salts = _shares(np.array(splits.share), n, cell_rows)
     rk, pk = regions.schema["rid"].dataType.simpleString(), points.schema["pid"].dataType.simpleString()
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, edges, cells, salt = [], [], [], []
-            for name, ring in zip(b.column("rid").to_pylist(), b.column("ring").to_pylist(), strict=True):
-                e = ring_edges(ring or [])
-                if name is None or not len(e):
+            rings, rid = b.column("ring"), b.column("rid")
+            for k in range(b.num_rows):
+                if not (rid[k].is_valid and rings[k].is_valid):
+                    continue
+                vertices = rings[k].values
+                e = ring_edges(*(vertices.field(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat")))
+                if not len(e):
                     continue
-                box = (e[:, 0].min(), min(e[:, 1].min(), e[:, 3].min()), e[:, 2].max(), max(e[:, 1].max(), e[:, 3].max()))
+                low, high = e[:, [0, 2]].min(), e[:, [0, 2]].max()
                 # The ring as seen from -180 <= lon < 180: every turn of the globe that reaches into it.
-                for turn in range(int(np.floor((box[0] + 180) / 360)), int(np.floor((box[2] + 180) / 360)) + 1):
-                    move = np.array([360.0 * turn, 0, 360.0 * turn, 0])
-                    _, cell = splits.place(np.array([[box[0] - 360 * turn, box[1]]]), 1e-9, np.array([[box[2] - 360 * turn, box[3]]]))
-                    for c in cell.tolist():
-                        for s in range(salts[c]):
-                            rid.append(name)
-                            edges.append((e - move).ravel().tolist())
-                            cells.append(c)
-                            salt.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, b.schema.field("rid").type), pa.array(edges, pa.list_(pa.float64())), pa.array(cells, pa.int64()), pa.array(salt, pa.int64())], ["rid", "edges", "cell", "salt"])
-
-    halo = regions.select("rid", "ring").mapInArrow(copies, f"rid {rk}, edges array<double>, cell long, salt long")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"pid": left["pid"][:0], "rid": right["rid"][:0]})
-        # A ring that circles the globe comes once per turn, each turn a polygon of its own.
-        e = [np.asarray(x, float).reshape(-1, 4) for x in right["edges"]]
-        owner = np.repeat(np.arange(len(e)), [len(x) for x in e])
-        e = np.concatenate(e)
-        p, o = sweep(_west(left["lon"].to_numpy()), left["lat"].to_numpy(), e[:, 0], e[:, 1], e[:, 2], e[:, 3], owner)
-        got = pd.DataFrame({"pid": left["pid"].to_numpy()[p], "rid": right["rid"].to_numpy()[o], "row": p})
-        return got.drop_duplicates(["row", "rid"])[["pid", "rid"]]
-
-    return _spread(points, splits, True, salts).groupBy("cell", "salt").cogroup(halo.groupBy("cell", "salt")).applyInPandas(meet, f"pid {pk}, rid {rk}")
+                for turn in range(int(np.floor((low + 180) / 360)), int(np.floor((high + 180) / 360)) + 1):
+                    for cell, own in descend(splits, e - np.array([360.0 * turn, 0, 360.0 * turn, 0])):
+                        times = int(salts[cell])
+                        flat = pa.array(np.tile(own.ravel(), times))
+                        edges = pa.ListArray.from_arrays(pa.array(np.arange(times + 1) * own.size, pa.int32()), flat)
+                        yield pa.RecordBatch.from_arrays([rid.take(pa.array([k] * times)), edges, pa.array([cell] * times, pa.int64()), pa.array(np.arange(times)), pa.array([0] * times, pa.int64())], ["rid", "edges", *TASK])
+
+    halo = regions.select("rid", "ring").mapInArrow(copies, f"rid {rk}, edges array<double>, cell long, salt long, part long")
+
+    def build(t: pa.Table) -> tuple:
+        lists = t["edges"].combine_chunks()
+        e = lists.flatten().to_numpy().reshape(-1, 4)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()) // 4)
+        return e, owner, t["rid"].combine_chunks()
+
+    def search(found: tuple, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        e, owner, rid = found
+        number = rid.dictionary_encode().indices.to_numpy()
+        lon, lat, pid = _west(b.column("lon").to_numpy()), b.column("lat").to_numpy(), b.column("pid")
+        size = max(1, CHUNK // max(len(rid), 1))
+        for low in range(0, len(lon), size):
+            p, o = sweep(lon[low : low + size], lat[low : low + size], e[:, 0], e[:, 1], e[:, 2], e[:, 3], owner)
+            # A ring that circles the globe comes once per turn, each turn a polygon of its own.
+            _, one = np.unique(np.stack([p, number[o]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pid.take(pa.array(low + p[one])), rid.take(pa.array(o[one]))], ["pid", "rid"])
+
+    return _meet(_spread(points, splits, True, salts, np.ones(splits.cells, int)), halo, build, search, f"pid {pk}, rid {rk}")
 
 
 RADIUS_KM = 20.0

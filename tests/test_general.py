@@ -279,6 +279,34 @@ def test_near_points_and_regions_match_brute_force(spark):
     assert near.near_points(df.limit(0), ref, 25.0).count() == 0 and near.in_regions(df, zones.limit(0)).count() == 0
 
 
+def test_a_ring_of_many_vertices_over_all_cells():
+    rnd = np.random.default_rng(1)
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    reach = 60 + 8 * np.sin(37 * turn) + 0.5 * np.sin(4001 * turn)
+    e = near.ring_edges(1.8 * reach * np.cos(turn), reach * np.sin(turn))
+    lon, lat = rnd.uniform(-130, 130, 3000), rnd.uniform(-75, 75, 3000)
+    splits = near.Splits(np.stack([lon, lat], axis=1), 256)
+    row, cell = splits.place(np.stack([lon, lat], axis=1))
+    flip = np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e)
+    flip = flip[flip[:, 0] < flip[:, 2]]
+    want, _ = near.sweep(lon, lat, *flip.T, np.zeros(len(flip), int))
+    parts = dict(near.descend(splits, e))
+    got = [i for c, own in parts.items() for i in row[cell == c][near.sweep(lon[row[cell == c]], lat[row[cell == c]], *own.T, np.zeros(len(own), int))[0]].tolist()]
+    assert sorted(got) == sorted(want.tolist()) and 500 < len(want) < 2900
+    # Only what crosses a cell comes whole: all copies together stay near the ring itself.
+    assert sum(len(x) for x in parts.values()) < 1.6 * len(e) and max(len(x) for x in parts.values()) < 0.1 * len(e)
+
+
+def test_crowded_references_are_parted(spark):
+    rnd = np.random.default_rng(2)
+    at = lambda n, c: spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rnd.normal(0, 0.01, (n, 2)))], f"{c} long, lon double, lat double")
+    points, refs = at(90, "pid"), at(400, "rid")
+    got = near.near_points(points, refs, 1.0, sample=30, cell_rows=25).select("pid", "rid").collect()
+    p, r = points.toPandas(), refs.toPandas()
+    km = near.great_circle_km(p.lon.to_numpy()[:, None], p.lat.to_numpy()[:, None], r.lon.to_numpy(), r.lat.to_numpy())
+    assert sorted(map(tuple, got)) == sorted(zip(*(x.tolist() for x in np.nonzero(km <= 1.0))))
+
+
 # -- spikes --------------------------------------------------------------------------------
 
 OBS = "oid long, upload long, station string, t timestamp, h double, note string"
