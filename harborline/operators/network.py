@@ -1,12 +1,14 @@
 """Station networks: distances, harmonic grids, interpolation in space, kriging, common modes, transfer, pooling.
 
-Pairs of places are found through near_points() (cells with halos), never by a cross join; the only dense systems are between
-stations, whose number is bounded (STATIONS), and are solved once on the driver and applied to points in Arrow batches.
+Pairs of places are found through near_points() (cells with halos), never by a cross join. Dense systems are between stations: up to
+STATIONS they are solved as one, on the driver, and applied to points in Arrow batches; beyond, kriging solves for each cell of
+points the system of the stations around it, and modes come from subspace iteration, which never forms the matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import small, table, take_bounded
-from harborline.operators.near import EARTH_KM, great_circle_km, near_points, on_globe
+from harborline.common import materialize, small, table, take_bounded
+from harborline.operators.near import EARTH_KM, Splits, great_circle_km, near_points, on_globe, unit
 
 #: Stations of one network whose dense system is solved at once.
 STATIONS = 3_000
+#: Points of one local neighbourhood, and the stations around it that count, in networks of more than STATIONS.
+NEAR_POINTS, NEAR_STATIONS = 64, 256
+#: Stations of all networks that one broadcast may hold.
+BROADCAST_STATIONS = 200_000
 
 
 def circular(x: str) -> str:
@@ -48,50 +54,122 @@ def nearest_points(places: DataFrame, points: DataFrame, radius_km: float, k: in
 
 
 def krige(stations: np.ndarray, values: np.ndarray, range_km: float | None = None, nugget_part: float = 0.05) -> dict:
-    """Ordinary kriging of values at (lon, lat) with exponential covariance: what evaluate() needs. At least 3 stations."""
+    """Ordinary kriging of values at (lon, lat) with exponential covariance: what evaluate() needs. At least 3 stations.
+
+    Weights don't depend on the sill, so several values (columns) share one system; each has its own sill.
+    """
     n = len(stations)
     lon, lat = stations[:, 0], stations[:, 1]
     km = great_circle_km(lon[:, None], lat[:, None], lon[None, :], lat[None, :])
     reach = range_km or 0.6 * float(km.max())
-    sill = max(float(values.var()), 1e-6)
     a = np.ones((n + 1, n + 1))
-    a[:n, :n] = sill * np.exp(-km / max(reach, 1e-9)) + nugget_part * sill * np.eye(n)
+    a[:n, :n] = np.exp(-km / max(reach, 1e-9)) + nugget_part * np.eye(n)
     a[n, n] = 0
-    return {"inverse": np.linalg.pinv(a), "stations": stations, "values": values, "reach": reach, "sill": sill, "nugget": nugget_part * sill}
+    try:
+        inverse = np.linalg.inv(a)
+    except np.linalg.LinAlgError:  # stations at one place without a nugget
+        inverse = np.linalg.pinv(a)
+    return {"inverse": inverse, "stations": stations, "values": values, "reach": reach, "sill": np.maximum(values.var(axis=0), 1e-6), "nugget_part": nugget_part}
 
 
 def evaluate(system: dict, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kriged mean and variance C(0) - w'k - m (m: the multiplier of the unbiasedness constraint)."""
     s = system["stations"]
-    k = system["sill"] * np.exp(-great_circle_km(lon[:, None], lat[:, None], s[None, :, 0], s[None, :, 1]) / max(system["reach"], 1e-9))
+    k = np.exp(-great_circle_km(lon[:, None], lat[:, None], s[None, :, 0], s[None, :, 1]) / max(system["reach"], 1e-9))
     right = np.column_stack([k, np.ones(len(lon))])
     w = right @ system["inverse"]
-    return w[:, :-1] @ system["values"], np.maximum(system["sill"] + system["nugget"] - (w * right).sum(axis=1), 0)
+    part = np.maximum(1 + system["nugget_part"] - (w * right).sum(axis=1), 0)
+    return w[:, :-1] @ system["values"], np.multiply.outer(part, system["sill"]) if system["values"].ndim > 1 else part * system["sill"]
+
+
+def field(stations: np.ndarray, values: np.ndarray, range_km: float | None = None, nugget_part: float = 0.05) -> Callable:
+    """(lon, lat) -> kriged means and variances. Fewer than 3 stations: inverse squared distances and variance 0; none: NaN.
+
+    More than STATIONS: for each NEAR_POINTS points, the NEAR_STATIONS stations nearest to their middle make the system; a
+    range not given is 0.6 of such a neighbourhood.
+    """
+    n = len(stations)
+    if n < 3:
+
+        def few(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            shape = (len(lon), *values.shape[1:])
+            if not n:
+                return np.full(shape, np.nan), np.full(shape, np.nan)
+            w = 1 / (great_circle_km(lon[:, None], lat[:, None], stations[None, :, 0], stations[None, :, 1]) + 1e-6) ** 2
+            return (w / w.sum(axis=1, keepdims=True)) @ values, np.zeros(shape)
+
+        return few
+    if n <= STATIONS:
+        system = krige(stations, values, range_km, nugget_part)
+        return lambda lon, lat: evaluate(system, lon, lat)
+    places = unit(stations[:, 0], stations[:, 1])
+
+    def local(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean, var = np.empty((len(lon), *values.shape[1:])), np.empty((len(lon), *values.shape[1:]))
+        at = unit(lon, lat)
+        row, cell = Splits(at, -(-len(lon) // NEAR_POINTS)).place(at)
+        for c in np.unique(cell):
+            mine = row[cell == c]
+            near = np.argpartition(((places - at[mine].mean(axis=0)) ** 2).sum(axis=1), NEAR_STATIONS)[:NEAR_STATIONS]
+            mean[mine], var[mine] = evaluate(krige(stations[near], values[near], range_km, nugget_part), lon[mine], lat[mine])
+        return mean, var
+
+    return local
+
+
+_FIELDS: dict[str, Callable] = {}
+
+
+def _once(token: str, build: Callable) -> Callable:
+    """What `build` makes, once in each Python worker: dense systems are solved in tasks, never in the driver beside a running JVM."""
+    if token not in _FIELDS:
+        if len(_FIELDS) >= 64:
+            _FIELDS.clear()
+        _FIELDS[token] = build()
+    return _FIELDS[token]
 
 
 def krige_points(points: DataFrame, stations: DataFrame, value: str, range_km: float | None = None) -> DataFrame:
-    """points(pid, lon, lat), stations(lon, lat, value) -> (pid, mean, variance). Fewer than 3 stations: inverse distances."""
-    rows = take_bounded(stations.where(on_globe("lon", "lat") & F.col(value).isNotNull()).select("lon", "lat", value).orderBy("lon", "lat"), STATIONS, "a network")
-    xy = np.array([(r[0], r[1]) for r in rows], float).reshape(-1, 2)
-    v = np.array([r[2] for r in rows], float)
-    system = krige(xy, v, range_km) if len(rows) >= 3 else None
+    """points(pid, lon, lat), stations(lon, lat, value) -> (pid, mean, variance) as of field()."""
+    rows = take_bounded(stations.where(on_globe("lon", "lat") & F.col(value).isNotNull()).select("lon", "lat", value).orderBy("lon", "lat"), BROADCAST_STATIONS, "a network")
+    xy, z, token = np.array([(r[0], r[1]) for r in rows], float).reshape(-1, 2), np.array([r[2] for r in rows], float), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _once(token, lambda: field(xy, z, range_km))
         for b in batches:
-            lon, lat = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat"))
-            if system:
-                mean, var = evaluate(system, lon, lat)
-            elif len(v):
-                w = 1 / (great_circle_km(lon[:, None], lat[:, None], xy[None, :, 0], xy[None, :, 1]) + 1e-6) ** 2
-                mean, var = w @ v / w.sum(axis=1), np.zeros(len(lon))
-            else:
-                mean = var = np.full(len(lon), np.nan)
+            mean, var = at(*(b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat")))
             yield pa.RecordBatch.from_arrays([b.column("pid"), pa.array(mean), pa.array(var)], ["pid", "mean", "variance"])
 
     use = points.where(on_globe("lon", "lat")).select("pid", "lon", "lat")
     return use.mapInArrow(run, f"pid {use.schema['pid'].dataType.simpleString()}, mean double, variance double")
 
 
+def krige_columns(points: DataFrame, stations: DataFrame, range_km: float | None = None, nugget_part: float = 0.05) -> DataFrame:
+    """points(pid, grp, lon, lat), stations(grp, lon, lat, z array<double>) -> (pid, grp, z, var arrays): every column of z kriged in
+    each group's own network. Points of a group without stations have no row; all z of a group are equally long and without nulls.
+    """
+    systems: dict = {}
+    for r in take_bounded(stations.where(on_globe("lon", "lat")).select("grp", "lon", "lat", "z").orderBy("grp", "lon", "lat"), BROADCAST_STATIONS, "all networks"):
+        systems.setdefault(r["grp"], []).append((r["lon"], r["lat"], *r["z"]))
+    tables = {g: np.array(v, float) for g, v in systems.items()}
+    token = uuid.uuid4().hex
+    use = points.where(on_globe("lon", "lat")).select("pid", "grp", F.col("lon").cast("double"), F.col("lat").cast("double"))
+    kind = f"pid {use.schema['pid'].dataType.simpleString()}, grp {use.schema['grp'].dataType.simpleString()}, z array<double>, var array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = np.array(b.column("grp").to_pylist(), object)
+            lon, lat = (b.column(c).to_numpy() for c in ("lon", "lat"))
+            for g in dict.fromkeys(groups.tolist()):
+                rows = np.flatnonzero(np.array([x == g for x in groups]))
+                if g in tables and len(rows):
+                    mean, var = _once(f"{token} {g!r}", lambda g=g: field(tables[g][:, :2], tables[g][:, 2:], range_km, nugget_part))(lon[rows], lat[rows])
+                    each = pa.array(np.arange(len(rows) + 1) * mean.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column("pid").take(pa.array(rows)), b.column("grp").take(pa.array(rows)), *(pa.ListArray.from_arrays(each, pa.array(np.ascontiguousarray(x).ravel())) for x in (mean, var))], ["pid", "grp", "z", "var"])
+
+    return use.mapInArrow(run, kind)
+
+
 def modes(c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(explained shares, loadings) of as many modes of a matrix of products as explain `threshold` of the variance."""
     value, vector = np.linalg.eigh(c)
@@ -104,46 +182,101 @@ def modes(c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 def common_modes(grid: DataFrame, threshold: float = 0.95) -> dict:
     """grid(station, unix_s, level) -> empirical orthogonal functions of the stations over their shared steps.
 
-    The sums of products of each pair of stations are taken by a join on the step, so no series is collected; the
-    stations-by-stations matrix (at most STATIONS) is decomposed on the driver. {stations, means, loadings, explained}: as many
-    modes as explain `threshold` of the variance. Only steps that all stations have count.
+    {stations, means, loadings, explained}: as many modes as explain `threshold` of the variance; a loading's sign is free. Only steps
+    that all stations have count; without one, or with a single station, ValueError. The levels of a step are set side by side and the
+    partitions add up products with a few directions, so neither a series nor the matrix of stations is collected.
     """
-    names = [r[0] for r in take_bounded(grid.select("station").distinct().orderBy("station"), STATIONS, "a network")]
-    full = grid.groupBy("unix_s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(names)).select("unix_s")
-    use = grid.join(full, "unix_s")
-    means = {r["station"]: (r["m"], r["n"]) for r in use.groupBy("station").agg(F.avg("level").alias("m"), F.count(F.lit(1)).alias("n")).collect()}
-    if len(names) < 2 or not means:
+    count = grid.select("station").distinct().count()
+    if count < 2:
+        raise ValueError("need two stations with shared steps")
+    steps = grid.groupBy("unix_s").agg(F.array_sort(F.collect_list(F.struct("station", "level"))).alias("x")).where(F.size("x") == count)
+    got = subspace_modes(materialize(steps.select(F.col("x.station").alias("stations"), F.col("x.level").alias("levels")), "steps"), threshold)
+    if got is None:
         raise ValueError("need two stations with shared steps")
-    centred = use.join(F.broadcast(grid.sparkSession.createDataFrame([(k, v[0]) for k, v in means.items()], "station string, m double")), "station").select("station", "unix_s", (F.col("level") - F.col("m")).alias("x"))
-    other = centred.withColumnsRenamed({"station": "station2", "x": "x2"})
-    sums = centred.join(other, "unix_s").where("station <= station2").groupBy("station", "station2").agg(F.sum(F.col("x") * F.col("x2")).alias("c")).collect()
-    at = {s: k for k, s in enumerate(names)}
-    c = np.zeros((len(names), len(names)))
-    for r in sums:
-        c[at[r["station"]], at[r["station2"]]] = c[at[r["station2"]], at[r["station"]]] = r["c"]
-    part, vector = modes(c, threshold)
-    return {"stations": names, "means": [means[s][0] for s in names], "loadings": vector, "explained": part}
+    return got
+
+
+def subspace_modes(steps: DataFrame, threshold: float, rounds: int = 60) -> dict | None:
+    """steps(stations, levels), all of the same stations in order -> as common_modes(), by subspace iteration; None without steps.
+
+    Each round is one pass: with directions q the partitions add up x (x'q) of the centred levels x, a row a station. The number of
+    directions doubles until they explain `threshold`.
+    """
+    first = steps.select("stations").limit(1).collect()
+    if not first:
+        return None
+    names = list(first[0][0])
+    n = len(names)
+
+    def levels(b: pa.RecordBatch) -> np.ndarray:
+        return b.column("levels").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, count = np.zeros(n), 0
+        for b in batches:
+            s, count = s + levels(b).sum(axis=0), count + b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(s), pa.array(np.full(n, count))], ["k", "s", "n"])
+
+    means = np.array([r["s"] / r["n"] for r in steps.mapInArrow(sums, "k long, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("k").collect()])
+
+    def products(q: np.ndarray) -> tuple[np.ndarray, float]:
+        r = q.shape[1]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z, square = np.zeros((n, r)), np.zeros(n)
+            for b in batches:
+                x = levels(b) - means
+                z, square = z + x.T @ (x @ q), square + (x * x).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(square), *(pa.array(z[:, j]) for j in range(r))], ["k", "square", *(f"z{j}" for j in range(r))])
+
+        got = steps.mapInArrow(add, "k long, square double, " + ", ".join(f"z{j} double" for j in range(r))).groupBy("k").agg(F.sum("square").alias("square"), *(F.sum(f"z{j}").alias(f"z{j}") for j in range(r))).orderBy("k").toPandas()
+        return got[[f"z{j}" for j in range(r)]].to_numpy(float), float(got["square"].sum())
+
+    q, last = np.linalg.qr(np.random.default_rng(0).normal(size=(n, min(n, 8))))[0], None
+    for _ in range(rounds):
+        z, total = products(q)
+        value, turn = np.linalg.eigh(q.T @ z)
+        order = np.argsort(-value)
+        value, vector = np.maximum(value[order], 0), q @ turn[:, order]
+        part = value / max(total, 1e-300)
+        kept = int(np.searchsorted(np.cumsum(part), threshold - 1e-12) + 1)
+        steady = last is not None and len(last) == len(value) and np.abs(last - value).max() <= 1e-11 * max(value.max(), 1e-300)
+        if steady and (kept <= len(value) or len(value) == n):
+            break
+        q, last = np.linalg.qr(z @ turn[:, order])[0], value
+        if steady or (kept > len(value) and len(value) < n):
+            more = np.random.default_rng(len(value)).normal(size=(n, min(n, 2 * len(value)) - len(value)))
+            q, last = np.linalg.qr(np.column_stack([q, more]))[0], None
+    kept = max(1, min(kept, len(value)))
+    return {"stations": names, "means": means.tolist(), "loadings": vector[:, :kept], "explained": part[:kept]}
 
 
 def regional_modes(grid: DataFrame, threshold: float = 0.95) -> DataFrame:
     """grid(region_name, station, unix_s, level) -> (region_name, station, mode, loading, explained): the modes of every region.
 
     As common_modes(), for each region by itself, null being one of them. Each step's readings are set side by side and the
-    partitions add up products of stations, so no series meets in one task; a region's matrix (at most STATIONS) is decomposed
-    in one. A region of one station has that station as its mode; a region without shared steps has no row.
+    partitions add up products of stations, so no series meets in one task; a region's matrix is decomposed in one. Regions of more
+    than STATIONS go through subspace_modes(), one after the other. A region of one station has that station as its mode; a
+    region without shared steps has no row.
     """
     same = F.col("region_name").eqNullSafe(F.col("_r"))
     counts = grid.select(F.col("region_name").alias("_r"), "station").distinct().groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     steps = grid.groupBy("region_name", "unix_s").agg(F.array_sort(F.collect_list(F.struct("station", "level"))).alias("x")).join(small(counts), same).where(F.size("x") == F.col("_n"))
     steps = steps.select("region_name", F.col("x.station").alias("stations"), F.col("x.level").alias("levels"))
+    schema = "region_name string, station string, mode int, loading double, explained double"
+    great = []
+    if wide := [r["_r"] for r in counts.where(F.col("_n") > STATIONS).select("_r").collect()]:  # few, as each has more than STATIONS stations
+        steps = materialize(steps, "steps")
+        for region in wide:
+            if got := subspace_modes(steps.where(F.col("region_name").eqNullSafe(F.lit(region))), threshold):
+                great += [(region, s, k, float(got["loadings"][j, k]), float(got["explained"][k])) for j, s in enumerate(got["stations"]) for k in range(len(got["explained"]))]
+        steps = steps.where(F.size("stations") <= STATIONS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
             for region, names, levels in zip(*(b.column(c).to_pylist() for c in ("region_name", "stations", "levels")), strict=True):
                 x = np.asarray(levels, float)
-                if len(x) > STATIONS:
-                    raise ValueError(f"a network has more than {STATIONS} rows")
                 # About the first step of the partition: sums of squares of the levels themselves would lose digits.
                 one = held.setdefault(region, [names, x, np.zeros(len(x)), np.zeros((len(x), len(x))), 0])
                 one[2] += x - one[1]
@@ -152,8 +285,6 @@ def regional_modes(grid: DataFrame, threshold: float = 0.95) -> DataFrame:
         rows = list(held.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v[0] for _, v in rows], pa.list_(pa.string())), *(pa.array([v[j].ravel().tolist() for _, v in rows], pa.list_(pa.float64())) for j in (1, 2, 3)), pa.array([v[4] for _, v in rows], pa.int64())], ["region_name", "stations", "origin", "sums", "products", "n"])
 
-    schema = "region_name string, station string, mode int, loading double, explained double"
-
     def decompose(part: pd.DataFrame) -> pd.DataFrame:
         names = list(part["stations"].iloc[0])
         n, mean, c = 0, np.zeros(len(names)), np.zeros((len(names), len(names)))
@@ -166,7 +297,8 @@ def regional_modes(grid: DataFrame, threshold: float = 0.95) -> DataFrame:
         return pd.DataFrame([(part["region_name"].iloc[0], s, k, vector[j, k], share[k]) for j, s in enumerate(names) for k in range(len(share))], columns=[x.split(" ")[0] for x in schema.split(", ")])
 
     parts = steps.mapInArrow(add, "region_name string, stations array<string>, origin array<double>, sums array<double>, products array<double>, n long")
-    return parts.groupBy("region_name").applyInPandas(decompose, schema)
+    out = parts.groupBy("region_name").applyInPandas(decompose, schema)
+    return out.unionByName(grid.sparkSession.createDataFrame(great, schema)) if great else out
 
 
 def constants(gauges: DataFrame) -> DataFrame:

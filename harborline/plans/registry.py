@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harborline.operators import analysis, bad_rows, corrections, fitting, lineage, near, network, quality, regular_grid, scores, series, spikes, tides, time_texts
+from harborline.operators import analysis, bad_rows, corrections, fitting, lineage, near, network, quality, regular_grid, scores, series, spikes, tides, time_texts, world
 
 
 def core_modules() -> list:
-    return [near, time_texts, regular_grid, bad_rows, spikes, quality, tides, series, scores, fitting, network, lineage, analysis, corrections]
+    return [near, time_texts, regular_grid, bad_rows, spikes, quality, tides, series, scores, fitting, network, lineage, analysis, corrections, world]
 
 
 def flagship(spark, d: str):
