@@ -97,6 +97,15 @@ def take_bounded(df: DataFrame, rows: int, what: str) -> list:
     return got
 
 
+def explode_steps(df: DataFrame, first: F.Column, last: F.Column, step: F.Column, name: str, chunk: int = 65_536) -> DataFrame:
+    """df with `name`: a row for each of first, first + step, ... up to last; none where last lies before first.
+
+    In two levels, so that no single gap, however long, becomes one array.
+    """
+    parts = df.where(first <= last).withColumn("_from", F.explode(F.sequence(first, last, step * chunk)))
+    return parts.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(last, F.col("_from") + step * (chunk - 1)), step))).drop("_from")
+
+
 def micros(c) -> F.Column:
     return F.unix_micros(c)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from harborline.common import materialize, small, table, take_bounded
 from harborline.functions import astro
 from harborline.operators.blocks import ordered_blocks
-from harborline.operators.series import _P, _obs, _predicted, with_neighbours
+from harborline.operators.series import _P, OBS_SQL, _obs, _predicted, with_neighbours
 from harborline.plans.steps import with_steps
 
 BASIC = ["M2", "S2", "N2", "K1", "O1"]
@@ -82,12 +82,15 @@ def product_sums(obs: DataFrame, names: list[str]) -> DataFrame:
             x = np.column_stack([np.ones(b.num_rows), *basis_columns({c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}, names), b.column("height").to_numpy(zero_copy_only=False)])
             us = b.column("us").to_numpy(zero_copy_only=False)
             who, at = np.unique(np.asarray(b.column("station").to_pylist(), dtype=str), return_inverse=True)
-            for k, name in enumerate(who.tolist()):
-                mine = at == k
-                one = held.setdefault(name, [np.zeros((size, size)), 0, us[mine][0], us[mine][0]])
-                one[0] += x[mine].T @ x[mine]
-                one[1] += int(mine.sum())
-                one[2], one[3] = min(one[2], us[mine].min()), max(one[3], us[mine].max())
+            order = np.argsort(at, kind="stable")
+            x, us = x[order], us[order]
+            ends = np.searchsorted(at[order], np.arange(len(who) + 1))
+            for name, low, high in zip(who.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                mine, when = x[low:high], us[low:high]
+                one = held.setdefault(name, [np.zeros((size, size)), 0, when[0], when[0]])
+                one[0] += mine.T @ mine
+                one[1] += high - low
+                one[2], one[3] = min(one[2], when.min()), max(one[3], when.max())
             if len(held) > HELD:
                 yield out()
         if held:
@@ -502,6 +505,17 @@ def ref_fit(spark, d: str) -> DataFrame:
     return each.select("station", "n_obs", "rmse", F.col("c.names").alias("name"), F.round("c.amplitude", 4).alias("amplitude"), F.round("c.phase_deg", 2).alias("phase_deg"), F.round("c.sigma_amp", 5).alias("sigma_amp"))
 
 
+def ref_fit_normal(spark, d: str) -> DataFrame:
+    """The fit of the five largest constituents satisfies the normal equations: mean residual times each basis column, the largest, is 0. Records of 30 days or more."""
+    obs = _obs(spark, d).where(F.abs("height") < 25).select("station", "us", "height")
+    models = fit(obs, BASIC, select=False).where("span_h >= 720").select("station", F.col("names").alias("_names"), "coef")
+    basis = with_steps(obs, astro.basis_steps([astro.BY_NAME[n] for n in BASIC])).join(small(models), "station")
+    columns = ["1D", *(f"{k}_{n}" for n in BASIC for k in "cs")]
+    resid = " + ".join(f"coef[{j}] * {c}" for j, c in enumerate(columns))
+    means = basis.withColumn("r", F.expr(f"height - ({resid})")).groupBy("station").agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.expr(f"r * {c}")).alias(f"m{j}") for j, c in enumerate(columns)))
+    return means.select("station", "n", (F.round(F.greatest(*(F.abs(f"m{j}") for j in range(len(columns)))), 6) + 0.0).alias("worst"))
+
+
 def ref_fit_bands(spark, d: str) -> DataFrame:
     """Coverage and width of the fitted models' 95 % bands over the readings."""
     obs = _obs(spark, d).where(F.abs("height") < 25)
@@ -533,7 +547,8 @@ def ref_season(spark, d: str) -> DataFrame:
     return rows.groupBy("station", F.floor(day * 12 / 366).cast("int").alias("bin")).agg(F.round(F.percentile("resid", F.lit(0.5)), 4).alias("bias"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (ref_fit, ref_fit_bands, ref_tails, ref_smooth, ref_season)}
+QUERIES = {f.__name__: f for f in (ref_fit, ref_fit_normal, ref_fit_bands, ref_tails, ref_smooth, ref_season)}
 SQL = {
+    "ref_fit_normal": f"SELECT station, count(*) AS n, CAST(0.0 AS DOUBLE) AS worst FROM {OBS_SQL} WHERE upload_id IS NOT NULL AND abs(height) < 25 AND station IS NOT NULL GROUP BY 1 HAVING count(*) >= 48 AND max(us) - min(us) >= 720 * 3600000000",
     "ref_season": f"SELECT station, CAST(floor((dayofyear(make_timestamp(us)) - 1) * 12 / 366) AS INT) AS bin, round(quantile_cont(round(height - tide, 3), 0.5), 4) AS bias, count(*) AS n FROM ({_P}) WHERE abs(height) < 25 GROUP BY 1, 2",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import table
+from harborline.common import small, table, written_dir
 
 
 def digests(obs: DataFrame) -> DataFrame:
@@ -90,7 +92,59 @@ def ref_latest_report(spark, d: str) -> DataFrame:
     return table(spark, d, "qc_reports").where("reported_at IS NOT NULL").groupBy("station").agg(F.max_by("upload_id", F.struct("reported_at", "upload_id")).alias("upload_id"), F.count(F.lit(1)).alias("reports"))
 
 
-QUERIES = {f.__name__: f for f in (ref_digests, ref_delta, ref_alias, ref_latest_report)}
+def verified(store: DataFrame, content: str) -> DataFrame:
+    """(hash, ok): whether each stored content still has its hash."""
+    return store.select("hash", F.coalesce(F.sha2(F.col(content), 256) == F.col("hash"), F.lit(False)).alias("ok"))
+
+
+def history(df: DataFrame, name: str, at: str, rid: str) -> DataFrame:
+    """(id, version, parent, latest) of every version of a name in order of time (equal times by id); versions start at 1.
+
+    Versions are counted within days and the days' counts added up, so no window sees more than a name's day.
+    """
+    rows = df.where(F.col(name).isNotNull() & F.col(at).isNotNull()).select(F.col(name).alias("name"), F.unix_micros(at).alias("us"), F.col(rid).alias("id"))
+    rows = rows.withColumn("day", F.expr("us DIV 86400000000"))
+    days = rows.groupBy("name", "day").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("us", "id")).alias("end"))
+    w = Window.partitionBy("name").orderBy("day")
+    days = days.select("name", "day", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sofar"), F.lag("end").over(w)["id"].alias("last"), F.sum("c").over(Window.partitionBy("name")).alias("total"))
+    own = Window.partitionBy("name", "day").orderBy("us", "id")
+    got = rows.withColumns({"place": F.row_number().over(own), "before": F.lag("id").over(own)}).join(days, ["name", "day"])
+    return got.select("id", (F.col("place") + F.col("sofar")).alias("version"), F.coalesce("before", "last").alias("parent"), (F.col("place") + F.col("sofar") == F.col("total")).alias("latest"))
+
+
+def merged(parts: DataFrame, by: str) -> DataFrame:
+    """parts(by, n, first_us, last_us, digest) -> one provenance per group: counts summed, the span, and a digest of the sorted digests."""
+    return parts.groupBy(by).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), "\n"), 256).alias("digest"))
+
+
+def ref_store(spark, d: str) -> DataFrame:
+    """Reports' contents put into the content store twice, the second time with more: every content once, each still true to its hash."""
+    path = f"{written_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = table(spark, d, "qc_reports").select("upload_id", F.concat_ws("|", "station", "sensor", "n_total").alias("content"))
+    store_new(rows.where("upload_id % 2 = 0").select("content"), "content", path)
+    return verified(store_new(rows.select("content"), "content", path), "content")
+
+
+def ref_history(spark, d: str) -> DataFrame:
+    """Every station's reports as versions: number, the one before, whether it is the latest."""
+    return history(table(spark, d, "qc_reports"), "station", "reported_at", "upload_id").withColumnRenamed("id", "upload_id")
+
+
+def ref_provenance(spark, d: str) -> DataFrame:
+    """Provenance of each region: its uploads' counts, span and digests merged."""
+    obs = table(spark, d, "obs").where("upload_id IS NOT NULL AND t IS NOT NULL")
+    about = obs.groupBy(F.col("upload_id").alias("key")).agg(F.min("station").alias("station"), F.min(F.unix_micros("t")).alias("first_us"), F.max(F.unix_micros("t")).alias("last_us"))
+    region = small(table(spark, d, "gauges").select("station", F.coalesce("region_name", F.lit("unknown")).alias("region")).dropDuplicates(["station"]))
+    return merged(digests(_keyed(spark, d)).join(about, "key").join(region, "station"), "region")
+
+
+def ref_clip_noise(spark, d: str) -> DataFrame:
+    """Constants with the noise mechanism at a budget so large that only its clipping shows."""
+    each = table(spark, d, "gauges").where("station IS NOT NULL").select("station", F.posexplode("constituents").alias("k", "c")).select(F.col("station").alias("key"), "k", (F.col("c.amplitude") * 10).alias("value"))
+    return with_noise(each, 1e9).select(F.col("key").alias("station"), "k", (F.round("value", 5) + 0.0).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (ref_digests, ref_delta, ref_alias, ref_latest_report, ref_store, ref_history, ref_provenance, ref_clip_noise)}
 
 _DIGEST = """(WITH d AS (SELECT upload_id, epoch_us(t) // 86400000000 AS day, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM
   (SELECT *, epoch_us(t)::VARCHAR || ';' || coalesce(CAST(round(CASE WHEN NOT isnan(height) THEN greatest(-1e12, least(1e12, height)) END * 1e6) AS BIGINT)::VARCHAR, 'null') AS line FROM obs WHERE upload_id IS NOT NULL AND t IS NOT NULL {more}) GROUP BY 1, 2)
@@ -100,4 +154,10 @@ SQL = {
     "ref_delta": f"SELECT upload_id, CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' WHEN a.digest <> b.digest THEN 'updated' ELSE 'unchanged' END AS change FROM {_DIGEST.format(more=f'''AND received_at <= TIMESTAMPTZ '{CUT}+00' ''')} a FULL JOIN {_DIGEST.format(more='')} b USING (upload_id)",
     "ref_alias": "SELECT station, substr(sha256('harbour|' || station), 1, 12) AS alias FROM gauges",
     "ref_latest_report": "SELECT station, first(upload_id ORDER BY reported_at DESC, upload_id DESC) AS upload_id, count(*) AS reports FROM qc_reports WHERE reported_at IS NOT NULL GROUP BY 1",
+    "ref_store": "SELECT DISTINCT sha256(concat_ws('|', station, sensor, n_total::VARCHAR)) AS hash, TRUE AS ok FROM qc_reports",
+    "ref_history": """SELECT upload_id, row_number() OVER w AS version, lag(upload_id) OVER w AS parent, row_number() OVER w = count(*) OVER (PARTITION BY station) AS latest FROM qc_reports
+WHERE station IS NOT NULL AND reported_at IS NOT NULL WINDOW w AS (PARTITION BY station ORDER BY reported_at, upload_id)""",
+    "ref_provenance": f"""WITH p AS (SELECT * FROM {_DIGEST.format(more='')} JOIN (SELECT upload_id, min(station) AS station, epoch_us(min(t)) AS a, epoch_us(max(t)) AS b FROM obs WHERE upload_id IS NOT NULL AND t IS NOT NULL GROUP BY 1) USING (upload_id) JOIN (SELECT station, coalesce(region_name, 'unknown') AS region FROM gauges) USING (station))
+SELECT region, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n, min(a) AS first_us, max(b) AS last_us, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS digest FROM p GROUP BY 1""",
+    "ref_clip_noise": "SELECT station, CAST(i - 1 AS INT) AS k, round(greatest(-5.0, least(5.0, constituents[i].amplitude * 10)), 5) + 0.0 AS value FROM (SELECT station, constituents, unnest(range(1, len(constituents) + 1)) AS i FROM gauges WHERE station IS NOT NULL)",
 }

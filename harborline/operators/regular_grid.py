@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import micros, small, table
+from harborline.common import explode_steps, micros, small, table
 from harborline.operators.blocks import BLOCK_ROWS, ordered_blocks
 
 US = 1_000_000
@@ -47,8 +47,8 @@ def _slot(us: F.Column) -> F.Column:
 def uncovered(pairs: DataFrame) -> DataFrame:
     """(series, slot_us): the cells strictly between the cells of two consecutive readings."""
     first, last = _slot(F.col("us")) + F.col("step_us"), _slot(F.col("next_us")) - F.col("step_us")
-    gaps = pairs.where(F.col("next_us").isNotNull()).select("series", "step_us", first.alias("a"), last.alias("b")).where(F.col("a") <= F.col("b"))
-    return gaps.select("series", F.explode(F.sequence("a", "b", "step_us")).alias("slot_us"))
+    gaps = pairs.where(F.col("next_us").isNotNull()).select("series", "step_us", first.alias("a"), last.alias("b"))
+    return explode_steps(gaps, F.col("a"), F.col("b"), F.col("step_us"), "slot_us").select("series", "slot_us")
 
 
 def regular_series(pairs: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def regular_series(pairs: DataFrame) -> DataFrame:
     reading has one observed cell of amount 0.
     """
     end = F.coalesce(F.col("next_us"), F.col("us"))
-    cells = pairs.withColumn("slot_us", F.explode(F.sequence(_slot(F.col("us")), _slot(end), F.col("step_us"))))
+    cells = explode_steps(pairs, _slot(F.col("us")), _slot(end), F.col("step_us"), "slot_us")
     overlap = F.least(F.col("slot_us") + F.col("step_us"), end) - F.greatest(F.col("slot_us"), F.col("us"))
     here = _slot(F.col("us")) == F.col("slot_us")
     # An interval of no length falls wholly into its cell.
@@ -73,7 +73,7 @@ def regular_series(pairs: DataFrame) -> DataFrame:
 def fill_levels(pairs: DataFrame) -> DataFrame:
     """(series, slot_us, level): each uncovered cell's level at its start, linear between the readings around it."""
     first, last = _slot(F.col("us")) + F.col("step_us"), _slot(F.col("next_us")) - F.col("step_us")
-    gaps = pairs.where(first <= last).withColumn("slot_us", F.explode(F.sequence(first, last, F.col("step_us"))))
+    gaps = explode_steps(pairs, first, last, F.col("step_us"), "slot_us")
     level = F.col("v") + (F.col("next_v") - F.col("v")) * (F.col("slot_us") - F.col("us")) / (F.col("next_us") - F.col("us"))
     return gaps.select("series", "slot_us", level.alias("level"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.common import materialize, micros, small, table
+from harborline.common import explode_steps, materialize, micros, small, table
 from harborline.operators.blocks import BLOCK_ROWS, ordered_blocks
 from harborline.operators.tides import OBS_SQL, predict, predict_sql, published_models
 
@@ -54,7 +54,7 @@ def interpolate(df: DataFrame, key: str, time: str, value: str, step_us: int = H
     first = F.ceil(F.col(time) / step_us) * step_us
     # Each whole step belongs to the pair that starts at or before it; the last reading only to itself.
     end = F.coalesce(F.when(F.col("_t") > F.col(time), F.ceil(F.col("_t") / step_us) * step_us - step_us), F.when(F.col("_t").isNull(), F.col(time)))
-    steps = pairs.withColumn("_end", end).where(F.col("_end").isNotNull() & (first <= F.col("_end"))).withColumn("at_us", F.explode(F.sequence(first, F.col("_end"), F.lit(step_us))))
+    steps = explode_steps(pairs.withColumn("_end", end), first, F.col("_end"), F.lit(step_us), "at_us")
     part = (F.col("at_us") - F.col(time)) / (F.col("_t") - F.col(time))
     return steps.select(key, "at_us", F.coalesce(F.col(value) + (F.col("_v") - F.col(value)) * part, F.col(value)).alias("level"))
 

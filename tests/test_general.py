@@ -76,6 +76,16 @@ def test_counter_resets_and_shares(spark):
     assert regular_grid.increments(regular_grid.readings(spark.createDataFrame([], GRID), "series", "t", "v", "step")).count() == 0
 
 
+def test_steps_of_a_long_gap_come_in_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from harborline.common import explode_steps
+
+    df = spark.createDataFrame([(1, 0, 1000), (2, 7, 7), (3, 9, 8), (4, None, 3)], "k int, a long, b long")
+    got = explode_steps(df, F.col("a"), F.col("b"), F.lit(7), "x", chunk=10).select("k", "x").collect()
+    assert sorted(map(tuple, got)) == [(1, x) for x in range(0, 1001, 7)] + [(2, 7)]
+
+
 # -- time texts -------------------------------------------------------------------
 
 

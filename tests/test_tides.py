@@ -230,6 +230,25 @@ def test_modes_of_every_region(spark):
             assert (r.mode, abs(r.loading), r.explained) == (0, 1.0, 1.0)
 
 
+def test_networks_beyond_one_system(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    x = np.outer(rnd.normal(size=12), np.sin(np.arange(150) / 5)) + np.outer(rnd.normal(size=12), np.cos(np.arange(150) / 3)) + rnd.normal(0, 0.05, (12, 150))
+    grid = spark.createDataFrame([("r", f"s{j:02d}", t, float(x[j, t])) for j in range(12) for t in range(150)], "region_name string, station string, unix_s long, level double")
+    whole = {(r.station, r.mode): (abs(r.loading), r.explained) for r in network.regional_modes(grid, 0.98).collect()}
+    monkeypatch.setattr(network, "STATIONS", 5)
+    parts = {(r.station, r.mode): (abs(r.loading), r.explained) for r in network.regional_modes(grid, 0.98).collect()}
+    assert set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k], abs=1e-5) for k in whole)
+    xy = np.stack([rnd.uniform(0, 20, 400), rnd.uniform(0, 20, 400)], axis=1)
+    z = np.stack([np.sin(xy[:, 0] / 4), xy[:, 1]], axis=1)
+    mean, var = network.field(xy, z, 300.0, 0.0)(xy[:, 0], xy[:, 1])
+    assert mean == pytest.approx(z, abs=1e-6) and var.max() < 1e-6
+    at = rnd.uniform(2, 18, (50, 2))
+    near = network.field(xy, z, 300.0)(at[:, 0], at[:, 1])
+    monkeypatch.setattr(network, "STATIONS", 3_000)
+    all_ = network.field(xy, z, 300.0)(at[:, 0], at[:, 1])
+    assert np.abs(near[0] - all_[0]).max() < 0.05 and np.abs(near[1] / z.var(axis=0) - all_[1] / z.var(axis=0)).max() < 0.2
+
+
 @pytest.mark.skipif(not SMALL.exists(), reason="no test data here")
 def test_modes_cover_the_register(spark):
     stations = {r.station for r in spark.read.parquet(f"{SMALL}/gauges.parquet").collect() if r.station is not None}
