@@ -1,8 +1,8 @@
 """Station networks: distances, harmonic grids, interpolation in space, kriging, common modes, transfer, pooling.
 
 Pairs of places are found through near_points() (cells with halos), never by a cross join. Dense systems are between stations: up to
-STATIONS they are solved as one, on the driver, and applied to points in Arrow batches; beyond, kriging solves for each cell of
-points the system of the stations around it, and modes come from subspace iteration, which never forms the matrix.
+STATIONS they are solved as one in the tasks that apply them to points in Arrow batches; beyond, kriging solves for each point the
+system of its nearest stations, and modes come from subspace iteration, which never forms the matrix.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.common import materialize, small, table, take_bounded
-from harborline.operators.near import EARTH_KM, Splits, great_circle_km, near_points, on_globe, unit
+from harborline.operators.near import EARTH_KM, great_circle_km, near_points, on_globe, unit
 
 #: Stations of one network whose dense system is solved at once.
 STATIONS = 3_000
-#: Points of one local neighbourhood, and the stations around it that count, in networks of more than STATIONS.
-NEAR_POINTS, NEAR_STATIONS = 64, 256
+#: Points solved for at once, and the nearest stations that count for each, in networks of more than STATIONS.
+NEAR_POINTS, NEAR_STATIONS = 64, 64
 #: Stations of all networks that one broadcast may hold.
 BROADCAST_STATIONS = 200_000
 
@@ -85,8 +85,8 @@ def evaluate(system: dict, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray
 def field(stations: np.ndarray, values: np.ndarray, range_km: float | None = None, nugget_part: float = 0.05) -> Callable:
     """(lon, lat) -> kriged means and variances. Fewer than 3 stations: inverse squared distances and variance 0; none: NaN.
 
-    More than STATIONS: for each NEAR_POINTS points, the NEAR_STATIONS stations nearest to their middle make the system; a
-    range not given is 0.6 of such a neighbourhood.
+    More than STATIONS: the NEAR_STATIONS nearest stations of each point make its own system; a range not given is 0.6 of the
+    widest such neighbourhood among the points solved for at once.
     """
     n = len(stations)
     if n < 3:
@@ -103,16 +103,27 @@ def field(stations: np.ndarray, values: np.ndarray, range_km: float | None = Non
         system = krige(stations, values, range_km, nugget_part)
         return lambda lon, lat: evaluate(system, lon, lat)
     places = unit(stations[:, 0], stations[:, 1])
+    columns = values if values.ndim > 1 else values[:, None]
+    sill = np.maximum(columns.var(axis=0), 1e-6)
 
     def local(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean, var = np.empty((len(lon), *values.shape[1:])), np.empty((len(lon), *values.shape[1:]))
-        at = unit(lon, lat)
-        row, cell = Splits(at, -(-len(lon) // NEAR_POINTS)).place(at)
-        for c in np.unique(cell):
-            mine = row[cell == c]
-            near = np.argpartition(((places - at[mine].mean(axis=0)) ** 2).sum(axis=1), NEAR_STATIONS)[:NEAR_STATIONS]
-            mean[mine], var[mine] = evaluate(krige(stations[near], values[near], range_km, nugget_part), lon[mine], lat[mine])
-        return mean, var
+        mean, var = np.empty((len(lon), columns.shape[1])), np.empty((len(lon), columns.shape[1]))
+        k = NEAR_STATIONS
+        for low in range(0, len(lon), NEAR_POINTS):
+            x, y = lon[low : low + NEAR_POINTS], lat[low : low + NEAR_POINTS]
+            near = np.argpartition(((unit(x, y)[:, None, :] - places[None, :, :]) ** 2).sum(axis=2), k, axis=1)[:, :k]
+            sx, sy = stations[near, 0], stations[near, 1]
+            km = great_circle_km(sx[:, :, None], sy[:, :, None], sx[:, None, :], sy[:, None, :])
+            reach = max(range_km or 0.6 * float(km.max()), 1e-9)
+            a = np.ones((len(x), k + 1, k + 1))
+            a[:, :k, :k] = np.exp(-km / reach) + nugget_part * np.eye(k)
+            a[:, k, k] = 0
+            right = np.ones((len(x), k + 1))
+            right[:, :k] = np.exp(-great_circle_km(x[:, None], y[:, None], sx, sy) / reach)
+            w = np.linalg.solve(a, right[:, :, None])[:, :, 0]
+            mean[low : low + len(x)] = (w[:, :k, None] * columns[near]).sum(axis=1)
+            var[low : low + len(x)] = np.maximum(1 + nugget_part - (w * right).sum(axis=1), 0)[:, None] * sill
+        return (mean, var) if values.ndim > 1 else (mean[:, 0], var[:, 0])
 
     return local
 
@@ -196,6 +207,19 @@ def common_modes(grid: DataFrame, threshold: float = 0.95) -> dict:
     return got
 
 
+def _times(a: np.ndarray, b: np.ndarray, by: str) -> np.ndarray:
+    """Products of tall matrices without the threads of a linear algebra library, which don't go with a JVM started by the driver."""
+    return np.einsum(by, a, b)
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, from their small matrix of products, twice for accuracy."""
+    for _ in range(2):
+        value, vector = np.linalg.eigh(_times(z, z, "ij,ik->jk"))
+        z = _times(z, vector / np.sqrt(np.maximum(value, value.max() * 1e-15)), "ij,jk->ik")
+    return z
+
+
 def subspace_modes(steps: DataFrame, threshold: float, rounds: int = 60) -> dict | None:
     """steps(stations, levels), all of the same stations in order -> as common_modes(), by subspace iteration; None without steps.
 
@@ -232,21 +256,21 @@ def subspace_modes(steps: DataFrame, threshold: float, rounds: int = 60) -> dict
         got = steps.mapInArrow(add, "k long, square double, " + ", ".join(f"z{j} double" for j in range(r))).groupBy("k").agg(F.sum("square").alias("square"), *(F.sum(f"z{j}").alias(f"z{j}") for j in range(r))).orderBy("k").toPandas()
         return got[[f"z{j}" for j in range(r)]].to_numpy(float), float(got["square"].sum())
 
-    q, last = np.linalg.qr(np.random.default_rng(0).normal(size=(n, min(n, 8))))[0], None
+    q, last = _orthonormal(np.random.default_rng(0).normal(size=(n, min(n, 8)))), None
     for _ in range(rounds):
         z, total = products(q)
-        value, turn = np.linalg.eigh(q.T @ z)
+        value, turn = np.linalg.eigh(_times(q, z, "ij,ik->jk"))
         order = np.argsort(-value)
-        value, vector = np.maximum(value[order], 0), q @ turn[:, order]
+        value, vector = np.maximum(value[order], 0), _times(q, turn[:, order], "ij,jk->ik")
         part = value / max(total, 1e-300)
         kept = int(np.searchsorted(np.cumsum(part), threshold - 1e-12) + 1)
         steady = last is not None and len(last) == len(value) and np.abs(last - value).max() <= 1e-11 * max(value.max(), 1e-300)
         if steady and (kept <= len(value) or len(value) == n):
             break
-        q, last = np.linalg.qr(z @ turn[:, order])[0], value
+        q, last = _orthonormal(_times(z, turn[:, order], "ij,jk->ik")) if value.min() > 1e-12 * value.max() else vector, value
         if steady or (kept > len(value) and len(value) < n):
             more = np.random.default_rng(len(value)).normal(size=(n, min(n, 2 * len(value)) - len(value)))
-            q, last = np.linalg.qr(np.column_stack([q, more]))[0], None
+            q, last = _orthonormal(np.column_stack([q, more])), None
     kept = max(1, min(kept, len(value)))
     return {"stations": names, "means": means.tolist(), "loadings": vector[:, :kept], "explained": part[:kept]}
 
