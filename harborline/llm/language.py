@@ -31,6 +31,8 @@ LABELS = {name: code for code, names in NAMES.items() for name in (code, *names.
 ORDER = 5
 #: Bounds of the labelled sample: documents and bytes of dialogue per language. Every document is then scored.
 SAMPLE_DOCS, SAMPLE_BYTES = 150, 120_000
+#: Longer documents (in bytes) are not drawn for the fit, so that what reaches the driver is bounded; they are labelled like all.
+SAMPLE_TEXT = 1_000_000
 #: Bits that a change of language from line to line costs.
 SWITCH_BITS = 9.0
 SHARE = 0.2
@@ -302,7 +304,7 @@ def label_column(c: str) -> F.Column:
 
 
 def fit(df: DataFrame, rid: str, text: str, label: str, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> Models:
-    """Models from a bounded sample of labelled documents, chosen by a hash of their ids.
+    """Models from a bounded sample of labelled documents of at most SAMPLE_TEXT bytes, chosen by a hash of their ids.
 
     Labels are noisy, so the sample is halved; each half's cues are kept where the other half's models agree with the label.
     """
@@ -312,7 +314,7 @@ def fit(df: DataFrame, rid: str, text: str, label: str, docs: int = SAMPLE_DOCS,
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs / n))).otherwise(share)
     drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000
-    got = named.where(drawn & F.col("text").isNotNull()).select("id", "lang", "text").limit(2 * docs * len(LANGUAGES)).collect()
+    got = named.where(drawn & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT)).select("id", "lang", "text").limit(2 * docs * len(LANGUAGES)).collect()
     halves: list[dict[str, list[str]]] = [{}, {}]
     used = dict.fromkeys(LANGUAGES, 0)
     for k, r in enumerate(sorted(got, key=lambda r: str(r["id"]))):

